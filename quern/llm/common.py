@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,12 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shipped(module) -> None:
-    """Pickle this module's functions by value: executors then need no copy of the repository."""
-    cloudpickle.register_pickle_by_value(module)
+def shipped(name: str) -> None:
+    """Pickle the functions of the module ``name`` by value: executors then need no copy of the repository."""
+    cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+shipped(__name__)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -74,3 +79,33 @@ def bucket_of(key: Column, splitters: list[int]) -> Column:
     steps = F.array(*[F.lit(1 << k) for k in range(depth - 1, -1, -1)])
     table = longs(padded)
     return F.aggregate(steps, F.lit(0), lambda at, half: F.when(F.element_at(table, at + half) < key, at + half).otherwise(at))
+
+
+def extend(df: DataFrame, text: str, new: dict[str, T.DataType], worker, *args) -> DataFrame:
+    """``df`` with new columns that Python computes from the column ``text``, Arrow batch by batch.
+
+    worker(*args) runs once in each task and gives a function from a list of
+    texts (null: empty) to one Arrow array for each new column. Columns of
+    ``df`` with the new names are replaced. Batches are cut small, so that a
+    task holds few texts at a time.
+    """
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in new} or c == text]
+    passed = [c for c in kept if c.lower() not in {n.lower() for n in new}]
+    schema = T.StructType([df.schema[c] for c in passed] + [T.StructField(n, t) for n, t in new.items()])
+    names = [*passed, *new]
+
+    def run(batches):
+        compute = worker(*args)
+        for batch in batches:
+            for small in pieces(batch):
+                values = [x or "" for x in small.column(small.schema.get_field_index(text)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([small.column(small.schema.get_field_index(c)) for c in passed] + compute(values), names=names)
+
+    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+
+
+def pieces(batch, rows: int = 512, size: int = 8 << 20):
+    """Slices of an Arrow batch of at most ``rows`` rows and about ``size`` bytes."""
+    step = max(1, min(rows, int(rows * size / max(batch.nbytes * rows / max(batch.num_rows, 1), 1))))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)

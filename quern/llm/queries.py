@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, sharding
+from quern.llm import bpe, mixing, sharding, token_counts
 from quern.llm.common import WORD, documents, materialize
 
 QUERIES: dict = {}
@@ -39,3 +40,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.document_sizes(documents(spark, sf_dir), word_count())
     mixed = mixing.with_copies(sizes, mixing.plan(sizes), "source", F.col("draw"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_counts.with_lengths(documents(spark, sf_dir).select("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.context_table(materialize(token_counts.histogram(lengths)))
+
+
+@query
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
