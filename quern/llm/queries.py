@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, mixing, sharding, token_counts
+from quern.llm import bpe, media, mixing, quality, sharding, token_counts
 from quern.llm.common import WORD, documents, materialize
 
 QUERIES: dict = {}
@@ -54,3 +54,18 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sound = media.as_sound(documents(spark, sf_dir).select("doc_id", "text"))
+    return sound.select(
+        "doc_id", F.octet_length(whole_text()).cast("long").alias("n_bytes"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), media.feature().alias("feature"), F.size("codes").alias("n_pairs"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality.judged(docs, documents(spark, sf_dir, "labels")).drop("text")
