@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, media, mixing, quality, sharding, token_counts
+from quern.llm import bpe, licenses, media, mixing, quality, secret_scan, sharding, token_counts
 from quern.llm.common import WORD, documents, materialize
 
 QUERIES: dict = {}
@@ -69,3 +69,24 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality.judged(docs, documents(spark, sf_dir, "labels")).drop("text")
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
+ORACLES["op2_licenses"] = licenses.oracle()
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id", *[secret_scan.counted(spans, n).alias(f"n_{r.name}") for n, r in enumerate(secret_scan.BASE)],
+        F.sha2(secret_scan.named(spans, most=len(secret_scan.BASE)), 256).alias("base_sha256"), secret_scan.named(spans).alias("spans"))
+
+
+ORACLES["op8_secrets"] = secret_scan.oracle()
