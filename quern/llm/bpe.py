@@ -33,7 +33,11 @@ from quern.llm.common import extend, shipped
 shipped(__name__)
 
 #: Words of the lexicon, pieces of text that a task remembers, and words that it counts before it passes them on.
-LEXICON_WORDS, REMEMBERED, COUNTED = 65_536, 150_000, 200_000
+LEXICON_WORDS, REMEMBERED, COUNTED = 65_536, 150_000, 400_000
+#: Symbols of a word up to which its pairs are simply looked through for each merge.
+SHORT = 48
+UNRANKED, WIDE = 1 << 60, 1 << 20
+BYTES = [bytes([b]) for b in range(256)]
 #: White space as the tokenizer's patterns know it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What ``str.split`` takes for white space besides.
@@ -49,10 +53,14 @@ class Tokenizer:
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
-        self.rank = {(self.ids[a], self.ids[b]): (k, self.ids[a + b]) for k, (a, b) in enumerate(pairs)}
+        pairs = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs]
+        #: Rank of a pair, whose two ids make one number; and the id that the pair of a rank becomes.
+        self.rank = {a * WIDE + b: k for k, (a, b, _) in enumerate(pairs)}
+        self.made = [c for _, _, c in pairs]
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
-        self.symbols = byte_symbols()
+        symbols = byte_symbols()
+        self.inner, self.last = [self.ids[x] for x in symbols], [self.ids[x + self.end] for x in symbols]
         pattern = next(p["pattern"]["Regex"] for p in described["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(pattern.replace("\\s", SPACE))
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -65,30 +73,52 @@ class Tokenizer:
         return [c for c in self.space.split(text) if c] if ODD_SPACE.search(text) else text.split()
 
     def words(self, chunk: str) -> list[bytes]:
-        return [w.encode() for w in self.word.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())]
+        """The words of a chunk in normal form. Letters alone, or with one common mark behind, need no pattern."""
+        if not chunk.isascii():
+            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            return [chunk.encode()]
+        if chunk[-1] in ".,;:!?" and (word := chunk[:-1]).isalpha():
+            return [word.encode(), chunk[-1].encode()]
+        return [w.encode() for w in self.word.findall(chunk)]
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word: the pair of lowest rank is merged first, the leftmost of equal ones."""
-        symbols = [self.symbols[b] for b in word]
-        symbols[-1] += self.end
-        ids: list = [self.ids[s] for s in symbols]
+        ids = [self.inner[b] for b in word]
+        ids[-1] = self.last[word[-1]]
+        if len(ids) > SHORT:
+            return self.merge_long(ids)
+        get, made = self.rank.get, self.made
+        ranks = [get(a * WIDE + b, UNRANKED) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != UNRANKED:
+            i = ranks.index(best)
+            ids[i] = new = made[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] * WIDE + new, UNRANKED)
+            if i < len(ranks):
+                ranks[i] = get(new * WIDE + ids[i + 1], UNRANKED)
+        return ids
+
+    def merge_long(self, ids: list) -> list[int]:
+        """The same with a heap of pairs; a pair whose parts have changed since is passed over."""
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        rank = self.rank
-        heap = [(*r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := rank.get((ids[i], ids[i + 1])))]
-        heap = [(k, i, new, a, b) for k, new, i, a, b in heap]
+        get, made = self.rank.get, self.made
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := get(ids[i] * WIDE + ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, None
+            ids[i], ids[j] = made[rank], None
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x in (before[i], i):
-                if x >= 0 and after[x] >= 0 and (r := rank.get((ids[x], ids[after[x]]))):
-                    heapq.heappush(heap, (r[0], x, r[1], ids[x], ids[after[x]]))
+                if x >= 0 and after[x] >= 0 and (r := get(ids[x] * WIDE + ids[after[x]])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[after[x]]))
         return [x for x in ids if x is not None]
 
     def decode(self, ids) -> str:
@@ -170,11 +200,12 @@ class Lexicon:
         self.labels = at
 
     def find(self, word: bytes) -> list[int] | None:
-        state, number, first, labels = self.start, 0, self.first, self.labels
+        state, number, first, labels, seek = self.start, 0, self.first, self.labels, self.map.find
         for label in word:
-            k = self.map.find(label.to_bytes(), labels + first[state], labels + first[state + 1]) - labels
+            k = seek(BYTES[label], labels + first[state], labels + first[state + 1])
             if k < 0:
                 return None
+            k -= labels
             number += self.skips[k]
             state = self.targets[k]
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist() if self.accepts[state] else None
@@ -216,22 +247,37 @@ def frequent_words(documents: DataFrame, file, text: str = "text", most: int = L
 
 def encoder(file, block):
     tokenizer, lexicon = Tokenizer(file.value), Lexicon(block.value)
-    memory: dict[str, tuple[list[int], str]] = {}
+    # Chunks in two generations: what the younger finds in the older one stays when the older one goes.
+    # Words below them: a chunk that is new in its capitals or marks is often no new word.
+    known: dict[bytes, list[int]] = {}
+    young: dict[str, tuple[list[int], str]] = {}
+    old: dict[str, tuple[list[int], str]] = {}
 
     def encoded(chunk: str) -> tuple[list[int], str]:
-        if chunk in tokenizer.special:
-            ids = [tokenizer.special[chunk]]
-        else:
-            ids = list(chain.from_iterable(found if (found := lexicon.find(w)) is not None else tokenizer.merge(w) for w in tokenizer.words(chunk)))
-        if len(memory) >= REMEMBERED:
-            memory.clear()
-        memory[chunk] = made = ids, tokenizer.decode(ids)
+        nonlocal young, old
+        if (made := old.get(chunk)) is None:
+            if chunk in tokenizer.special:
+                ids = [tokenizer.special[chunk]]
+            else:
+                ids = []
+                for w in tokenizer.words(chunk):
+                    if (found := known.get(w)) is None:
+                        if (found := lexicon.find(w)) is None:
+                            found = tokenizer.merge(w)
+                        if len(known) >= 2 * REMEMBERED:
+                            known.clear()
+                        known[w] = found
+                    ids += found
+            made = ids, tokenizer.decode(ids)
+        if len(young) >= REMEMBERED:
+            young, old = {}, young
+        young[chunk] = made
         return made
 
     def compute(texts: list[str]) -> list:
         offsets, parts, decoded = [0], [], []
         for t in texts:
-            found = [memory.get(c) or encoded(c) for c in tokenizer.chunks(t)]
+            found = [young.get(c) or encoded(c) for c in tokenizer.chunks(t)]
             ids = list(chain.from_iterable([x[0] for x in found]))
             parts.append(np.array(ids, dtype=np.int32))
             offsets.append(offsets[-1] + len(ids))
