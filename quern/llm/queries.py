@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, licenses, media, mixing, quality, secret_scan, sharding, token_counts
+from quern.llm import bpe, licenses, media, mixing, quality, secret_scan, sharding, simhash, token_counts
 from quern.llm.common import WORD, documents, materialize
 
 QUERIES: dict = {}
@@ -90,3 +90,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_secrets"] = secret_scan.oracle()
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.with_components(documents(spark, sf_dir).select("doc_id", "text"))
