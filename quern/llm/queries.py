@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, licenses, media, mixing, quality, secret_scan, sharding, simhash, token_counts
+from quern.llm import bpe, fingerprints, licenses, media, mixing, quality, secret_scan, sharding, simhash, token_counts
 from quern.llm.common import WORD, documents, materialize
 
 QUERIES: dict = {}
@@ -95,3 +95,18 @@ ORACLES["op8_secrets"] = secret_scan.oracle()
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", whole_text().alias("text"))
+    marked = fingerprints.fingerprinted(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    paired = fingerprints.with_next(marked, "doc_id", ["text", "runs"], ["text"])
+    cut = F.floor(F.col("n_chars") / 3).cast("int")
+    paired = paired.select("doc_id", "n_chars", "runs", F.col("next.runs").alias("next_runs"), F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut).alias("head"), F.substring("next.text", F.lit(1), cut).alias("tail"))
+    edited = paired.select(
+        "doc_id", "n_chars", "runs", "next_runs", F.sha2(F.concat("head", "tail"), 256).alias("edited_sha256"),
+        fingerprints.winnow_replaced(F.col("runs"), F.col("head"), F.col("tail")).alias("edited_runs"))
+    return edited.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.written(F.col("runs")).alias("fingerprint"), fingerprints.written(F.col("edited_runs")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("runs"), F.col("edited_runs")).alias("near_edited"), fingerprints.likeness(F.col("runs"), F.col("next_runs")).alias("near_next"))
