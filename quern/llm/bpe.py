@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import extend, shipped
+from quern.llm.common import extend, materialize, shipped
 
 shipped(__name__)
 
 #: Words of the lexicon, pieces of text that a task remembers, and words that it counts before it passes them on.
 LEXICON_WORDS, REMEMBERED, COUNTED = 65_536, 150_000, 400_000
-#: Symbols of a word up to which its pairs are simply looked through for each merge.
-SHORT = 48
+#: Bytes of a word up to which it is merged in a table with others, and words of a table.
+SHORT, SIDE_BY_SIDE = 48, 4096
 UNRANKED, WIDE = 1 << 60, 1 << 20
 BYTES = [bytes([b]) for b in range(256)]
 #: White space as the tokenizer's patterns know it.
@@ -56,11 +56,12 @@ class Tokenizer:
         pairs = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs]
         #: Rank of a pair, whose two ids make one number; and the id that the pair of a rank becomes.
         self.rank = {a * WIDE + b: k for k, (a, b, _) in enumerate(pairs)}
-        self.made = [c for _, _, c in pairs]
+        self.made = np.array([c for _, _, c in pairs])
+        self.pairs, self.pair_ranks = (np.array(x) for x in zip(*sorted(self.rank.items()), strict=True))
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
         symbols = byte_symbols()
-        self.inner, self.last = [self.ids[x] for x in symbols], [self.ids[x + self.end] for x in symbols]
+        self.inner, self.last = np.array([self.ids[x] for x in symbols]), np.array([self.ids[x + self.end] for x in symbols])
         pattern = next(p["pattern"]["Regex"] for p in described["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(pattern.replace("\\s", SPACE))
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -83,26 +84,63 @@ class Tokenizer:
             return [word.encode(), chunk[-1].encode()]
         return [w.encode() for w in self.word.findall(chunk)]
 
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of a word: the pair of lowest rank is merged first, the leftmost of equal ones."""
-        ids = [self.inner[b] for b in word]
-        ids[-1] = self.last[word[-1]]
-        if len(ids) > SHORT:
-            return self.merge_long(ids)
-        get, made = self.rank.get, self.made
-        ranks = [get(a * WIDE + b, UNRANKED) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) != UNRANKED:
-            i = ranks.index(best)
-            ids[i] = new = made[best]
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] * WIDE + new, UNRANKED)
-            if i < len(ranks):
-                ranks[i] = get(new * WIDE + ids[i + 1], UNRANKED)
-        return ids
-
-    def merge_long(self, ids: list) -> list[int]:
-        """The same with a heap of pairs; a pair whose parts have changed since is passed over."""
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word: its pair of lowest rank is merged first, the leftmost of equal ones.
+
+        Words are rows of a table, merged side by side, one pair of each at a step; long ones go by themselves.
+        """
+        out: list = [None] * len(words)
+        rows = np.array(sorted((k for k, w in enumerate(words) if len(w) <= SHORT), key=lambda k: len(words[k])), dtype=np.int64)
+        for k, w in enumerate(words):
+            if len(w) > SHORT:
+                out[k] = self.merge_long(w)
+        for i in range(0, len(rows), SIDE_BY_SIDE):
+            part = rows[i : i + SIDE_BY_SIDE]
+            for k, ids in self.merge_table(part, [words[k] for k in part]):
+                out[k] = ids
+        return out
+
+    def merge_table(self, row: np.ndarray, words: list[bytes]):
+        size = np.array([len(w) for w in words])
+        ids = np.full((len(words), size.max() + 1), -1, np.int64)
+        ids[np.arange(ids.shape[1]) < size[:, None]] = self.inner[np.frombuffer(b"".join(words), np.uint8)]
+        ids[np.arange(len(words)), size - 1] = self.last[[w[-1] for w in words]]
+        rank = self.ranks(ids[:, :-1], ids[:, 1:])
+        while len(row):
+            best = rank.argmin(axis=1)
+            at = np.arange(len(row))
+            lowest = rank[at, best]
+            done = lowest == UNRANKED
+            if done.any():
+                for k, r in zip(row[done].tolist(), ids[done].tolist(), strict=True):
+                    yield k, r[: r.index(-1)]
+                row, ids, rank, best, lowest = row[~done], ids[~done], rank[~done], best[~done], lowest[~done]
+                at = np.arange(len(row))
+            new = self.made[lowest]
+            column = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, column + (column > best[:, None]), 1)
+            ids[at, best] = new
+            column = column[:-1]
+            rank = np.take_along_axis(rank, column + (column >= best[:, None]), 1)
+            if not rank.shape[1]:  # words of one symbol are left
+                rank = np.full((len(row), 1), UNRANKED)
+                ids = np.concatenate([ids, np.full((len(row), 1), -1)], axis=1)
+                continue
+            right = best < rank.shape[1]
+            rank[at[right], best[right]] = self.ranks(new[right], ids[at[right], best[right] + 1])
+            left = best > 0
+            rank[at[left], best[left] - 1] = self.ranks(ids[at[left], best[left] - 1], new[left])
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; what is no pair has UNRANKED."""
+        pair = a * WIDE + b
+        k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((self.pairs[k] == pair) & (a >= 0) & (b >= 0), self.pair_ranks[k], UNRANKED)
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same for one word with a heap of pairs; a pair whose parts have changed since is passed over."""
+        ids: list = self.inner[np.frombuffer(word, np.uint8)].tolist()
+        ids[-1] = int(self.last[word[-1]])
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
         get, made = self.rank.get, self.made
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := get(ids[i] * WIDE + ids[i + 1])) is not None]
@@ -112,7 +150,7 @@ class Tokenizer:
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = made[rank], None
+            ids[i], ids[j] = int(made[rank]), None
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
@@ -240,44 +278,64 @@ def count_words(documents: DataFrame, file, text: str = "text") -> DataFrame:
 
 
 def frequent_words(documents: DataFrame, file, text: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``most`` frequent words of all texts; of equally frequent ones the first in byte order."""
-    top = count_words(documents, file, text).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r[0]) for r in top.select("word").collect()]
+    """At most ``most`` words, the most frequent ones of all texts, in byte order.
+
+    A histogram of the counts, in finely graded bins, says how frequent a word
+    must be; a bin that would not fit whole is left out. So the driver receives
+    a histogram of bounded length and the words themselves, and nothing by task.
+    """
+    counts = materialize(count_words(documents, file, text).where("n > 1"))
+    level = F.floor(F.log2("n") * 64).cast("int")
+    least, held = None, 0
+    for b, n in sorted(counts.groupBy(level.alias("b")).count().collect(), reverse=True):
+        if (held := held + n) > most:
+            break
+        least = b
+    if least is None:
+        return []
+    return sorted(bytes(r[0]) for r in counts.where(level >= least).select("word").collect())
 
 
 def encoder(file, block):
     tokenizer, lexicon = Tokenizer(file.value), Lexicon(block.value)
     # Chunks in two generations: what the younger finds in the older one stays when the older one goes.
     # Words below them: a chunk that is new in its capitals or marks is often no new word.
-    known: dict[bytes, list[int]] = {}
     young: dict[str, tuple[list[int], str]] = {}
     old: dict[str, tuple[list[int], str]] = {}
+    known: dict[bytes, list[int]] = {}
 
-    def encoded(chunk: str) -> tuple[list[int], str]:
-        nonlocal young, old
-        if (made := old.get(chunk)) is None:
-            if chunk in tokenizer.special:
-                ids = [tokenizer.special[chunk]]
+    def learn(chunks: set[str]) -> None:
+        """Ids and decoded form of chunks that the younger generation lacks: from the lexicon, or else merged."""
+        split = {}
+        for c in chunks:
+            if c in old:
+                young[c] = old[c]
+            elif c in tokenizer.special:
+                young[c] = [tokenizer.special[c]], tokenizer.decode([tokenizer.special[c]])
             else:
-                ids = []
-                for w in tokenizer.words(chunk):
-                    if (found := known.get(w)) is None:
-                        if (found := lexicon.find(w)) is None:
-                            found = tokenizer.merge(w)
-                        if len(known) >= 2 * REMEMBERED:
-                            known.clear()
-                        known[w] = found
-                    ids += found
-            made = ids, tokenizer.decode(ids)
-        if len(young) >= REMEMBERED:
-            young, old = {}, young
-        young[chunk] = made
-        return made
+                split[c] = tokenizer.words(c)
+        unseen = []
+        for w in {w for ws in split.values() for w in ws if w not in known}:
+            if (found := lexicon.find(w)) is None:
+                unseen.append(w)
+            else:
+                known[w] = found
+        known.update(zip(unseen, tokenizer.merge(unseen), strict=True))
+        for c, ws in split.items():
+            ids = known[ws[0]] if len(ws) == 1 else list(chain.from_iterable([known[w] for w in ws]))
+            young[c] = ids, tokenizer.decode(ids)
 
     def compute(texts: list[str]) -> list:
+        nonlocal young, old
+        if len(young) > REMEMBERED:
+            young, old = {}, young
+        if len(known) > 2 * REMEMBERED:
+            known.clear()
+        chunks = [tokenizer.chunks(t) for t in texts]
+        learn(set(chain.from_iterable(chunks)) - young.keys())
         offsets, parts, decoded = [0], [], []
-        for t in texts:
-            found = [young.get(c) or encoded(c) for c in tokenizer.chunks(t)]
+        for cs in chunks:
+            found = [young[c] for c in cs]
             ids = list(chain.from_iterable([x[0] for x in found]))
             parts.append(np.array(ids, dtype=np.int32))
             offsets.append(offsets[-1] + len(ids))
@@ -299,5 +357,6 @@ def encode(documents: DataFrame, path: str, text: str = "text", words: int = LEX
         raw = f.read()
     file = context.broadcast(raw)  # as large as the tokenizer's file
     tokenizer = Tokenizer(raw)
-    block = context.broadcast(compile_lexicon({w: tokenizer.merge(w) for w in frequent_words(documents, file, text, words)}))  # bounded by ``words``
+    frequent = frequent_words(documents, file, text, words)
+    block = context.broadcast(compile_lexicon(dict(zip(frequent, tokenizer.merge(frequent), strict=True))))  # bounded by ``words``
     return extend(documents, text, {"ids": T.ArrayType(T.IntegerType(), False), "decoded": T.StringType()}, encoder, file, block)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
 
@@ -99,7 +100,12 @@ def extend(df: DataFrame, text: str, new: dict[str, T.DataType], worker, *args)
         for batch in batches:
             for small in pieces(batch):
                 values = [x or "" for x in small.column(small.schema.get_field_index(text)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([small.column(small.schema.get_field_index(c)) for c in passed] + compute(values), names=names)
+                gc.disable()  # the workers make many small lists and no cycles
+                try:
+                    made = compute(values)
+                finally:
+                    gc.enable()
+                yield pa.RecordBatch.from_arrays([small.column(small.schema.get_field_index(c)) for c in passed] + made, names=names)
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 

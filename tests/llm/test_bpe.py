@@ -28,7 +28,7 @@ def ours():
         raw = f.read()
     words = [b"the", b"then", b"there", b"of", b"hash", b"ash", "été".encode(), b"a", b"1"]
     t = bpe.Tokenizer(raw)
-    block = bpe.compile_lexicon({w: t.merge(w) for w in words})
+    block = bpe.compile_lexicon(dict(zip(words, t.merge(words), strict=True)))
     compute = bpe.encoder(SimpleNamespace(value=raw), SimpleNamespace(value=block))
     return lambda text: tuple(x.to_pylist()[0] for x in compute([text]))
 
