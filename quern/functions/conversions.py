@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Parts of a format in the ETL's notation, and Spark's.
-PARTS = (("CCYY", "yyyy"), ("YY", "yy"), ("DD", "dd"), ("D", "d"), ("MM", "MM"), ("hh", "HH"), ("h", "H"), ("mm", "mm"), ("ss", "ss"), ("fff", "SSS"))
+PARTS = (("CCYY", "yyyy"), ("YY", "yy"), ("DD", "dd"), ("D", "d"), ("MM", "MM"), ("M", "M"), ("hh", "HH"), ("h", "H"), ("mm", "mm"), ("ss", "ss"), ("fff", "SSS"))
 
 
 def spark_format(pattern: str) -> str:
