@@ -63,16 +63,22 @@ def quantified(df: DataFrame, x: str, op: str, quantifier: str, values: DataFram
     return joined.withColumn(into, holds).select(*df.columns, into)
 
 
-def quantified_sql(x: str, op: str, quantifier: str, subquery: str) -> str:
-    """The comparison as SQL text; a correlated subquery stays correlated, for the planner to turn into a join."""
+def quantified_sql(x: str, op: str, quantifier: str, subquery: str, filters: bool = True) -> str:
+    """The comparison as SQL text; a correlated subquery stays correlated, for the planner to turn into a join.
+
+    filters: the value only decides whether a row stays. Membership is then IN,
+    which becomes a semi or anti join; as a column IN would give false for null.
+    """
     op = {"!=": "<>", "==": "="}.get(op, op)
     every = quantifier.upper() == "ALL"
-    if (every, op) == (True, "<>"):
-        return f"({x} NOT IN ({subquery}))"
-    if (every, op) == (False, "="):
-        return f"({x} IN ({subquery}))"
-    asked = op if every else NEGATED[op]
     one = lambda e: f"(SELECT {e} FROM ({subquery}) AS _q(_c))"
+    if (every, op) in ((True, "<>"), (False, "=")):
+        if filters:
+            return f"({x} {'NOT ' * every}IN ({subquery}))"
+        among = one("_c").removesuffix(")") + " WHERE _c IS NOT NULL)"
+        held = f"CASE WHEN {one('count(*)')} = 0 THEN FALSE WHEN {x} IS NULL THEN CAST(NULL AS BOOLEAN) WHEN {x} IN {among} THEN TRUE WHEN {one('count(*) - count(_c)')} > 0 THEN CAST(NULL AS BOOLEAN) ELSE FALSE END"
+        return f"(NOT ({held}))" if every else f"({held})"
+    asked = op if every else NEGATED[op]
     low, high = one("min(_c)"), one("max(_c)")
     fails = {">": f"{x} <= {high}", ">=": f"{x} < {high}", "<": f"{x} >= {low}", "<=": f"{x} > {low}", "=": f"({x} <> {low} OR {x} <> {high})"}[asked]
     held = f"CASE WHEN {one('count(*)')} = 0 THEN TRUE WHEN {x} IS NULL THEN CAST(NULL AS BOOLEAN) WHEN {fails} THEN FALSE WHEN {one('count(*) - count(_c)')} > 0 THEN CAST(NULL AS BOOLEAN) ELSE TRUE END"

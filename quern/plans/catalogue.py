@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quern.catalog import register, table
 from quern.functions import conversions, dates, numbers, text
 from quern.operators import cursors, dml, fulltext, nullmode, quantified, setops
-from quern.plans import sql_compat
+from quern.plans import routines, sql_compat
 from quern.sources import infoviews, markup
+from quern.streaming import events as streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -436,3 +437,20 @@ def table_space(spark, sf_dir):
 @frame(f"SELECT page_id, {markup.oracle('html')} AS text FROM pages")
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markup.html_text(F.col("html")).alias("text"))
+
+
+@frame("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_by_hour(spark, sf_dir):
+    return streamed.by_window(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@frame("SELECT o_orderkey, o_totalprice * 0.9 AS reduced FROM orders WHERE o_orderstatus = 'O'")
+def sql_function(spark, sf_dir):
+    register(spark, sf_dir, ("orders",))
+    routines.create_function(spark, "quern_reduced", "x DOUBLE, share DOUBLE DEFAULT 0.9D", "DOUBLE", "x * share")
+    return spark.sql("SELECT o_orderkey, quern_reduced(o_totalprice) AS reduced FROM orders WHERE o_orderstatus = 'O'")
+
+
+@frame("SELECT 55 AS total")
+def sql_script(spark, sf_dir):
+    return routines.script(spark, "BEGIN DECLARE total INT = 0; DECLARE k INT = 1; WHILE k <= 10 DO SET total = total + k; SET k = k + 1; END WHILE; SELECT total AS total; END")

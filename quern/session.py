@@ -24,6 +24,7 @@ def session(app: str = "quern", cores: int | str | None = None, **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.cbo.enabled": "true",
+        "spark.sql.legacy.javaCharsets": "true",  # the code pages of old exports
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",
