@@ -421,15 +421,16 @@ def deduplicated(documents: DataFrame, identity: str = "doc_id", text: str = "te
     Texts are near copies if wide fingerprints of their ``width``-word shingles
     differ in no more bits than those of texts with this Jaccard likeness do on
     average, with ``margin`` for chance. Exact copies always meet. Rows without
-    identity stay only if their group has no other; texts without words are one
-    group. Columns are those of ``documents``.
+    identity stay only if their group has no other, one for each fingerprint; texts
+    without words are one group. Columns are those of ``documents``.
     """
     taken, bands, lanes = bands_for(likeness, documents.count())
     radius = int(64 * lanes * (math.acos(2 * likeness / (1 + likeness)) / math.pi + margin))
     marked = materialize(fingerprints(documents.select(identity, text), text, width, lanes, plain=False).select(identity, F.xxhash64(text).alias("copy"), "fp"))
     found = groups(marked, radius, bands, taken, identity=identity)
-    # The join is on short rows; texts meet only the ids that stay.
-    least = marked.join(found, "fp").where(F.col(identity).eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("_id")).agg(F.min("copy").alias("_copy"))
-    kept = materialize(least)
-    rows = documents.join(kept, F.col(identity).eqNullSafe(F.col("_id")) & F.xxhash64(text).eqNullSafe(F.col("_copy")))
-    return rows.drop("_id", "_copy")
+    # All on short rows; texts meet only the rows that go, which are few enough to be broadcast or else joined by sorting.
+    rows = marked.join(found, "fp").withColumn("own", F.col(identity).eqNullSafe(F.col("component_id"))).withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp")))
+    best = rows.where("own").groupBy(F.col("component_id").alias("_c"), F.col("alone").alias("_a")).agg(F.min("copy").alias("_best"))
+    rows = rows.join(best, F.col("component_id").eqNullSafe(F.col("_c")) & F.col("alone").eqNullSafe(F.col("_a")), "left")
+    gone = materialize(rows.where(~(F.col("own") & F.col("copy").eqNullSafe(F.col("_best")))).select(F.col(identity).alias("_id"), F.col("copy").alias("_copy")).distinct())
+    return documents.join(gone, F.col(identity).eqNullSafe(F.col("_id")) & F.xxhash64(text).eqNullSafe(F.col("_copy")), "left_anti")

@@ -136,6 +136,17 @@ def test_deduplication_finds_near_copies_and_keeps_the_rest(spark):
     assert simhash.deduplicated(df).columns == df.columns
 
 
+def test_deduplication_of_awkward_rows(spark):
+    text = "one two three four five six seven"
+    rows = [(2, text), (1, text.upper() + "!"), (1, text), (None, text), (None, "no id of its own in here"), (None, "nor has this other one any"), (7, None), (8, ""), (9, " . ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.deduplicated(df).collect()), key=str)
+    assert [k for k in kept if k[0] is None] == [rows[4], rows[5]]
+    assert len([k for k in kept if k[0] == 1]) == 1 and (2, text) not in kept and (None, text) not in kept
+    assert [k for k in kept if k[0] in (7, 8, 9)] == [(7, None)]
+    assert simhash.deduplicated(df.where("false")).count() == 0
+
+
 def test_majority_counts_every_bit():
     h = np.array([0b11, 0b01, 0b01], np.uint64)
     assert simhash.majority(h, 1) == (1).to_bytes(8)
