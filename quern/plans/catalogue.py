@@ -162,7 +162,7 @@ sql("common_table", "orders", "WITH t AS (SELECT o_custkey AS k, count(*) AS n F
 sql("agg_global", "lineitem", "SELECT CAST(count(*) AS bigint) AS n, CAST(sum(l_linenumber) AS bigint) AS s, round(avg(l_quantity), 6) AS a, min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem")
 sql("agg_empty", "lineitem", "SELECT CAST(count(*) AS bigint) AS n, CAST(sum(l_linenumber) AS bigint) AS s, max(l_shipmode) AS m FROM (SELECT l_linenumber, l_returnflag AS l_shipmode FROM lineitem WHERE l_quantity > 1000) t")
 sql("agg_group", "lineitem", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS bigint) AS n, round(sum(l_extendedprice), 2) AS price, round(avg(l_discount), 6) AS disc, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus")
-sql("agg_group_expression", "orders", "SELECT year(o_orderdate) AS y, CAST(count(*) AS bigint) AS n FROM orders GROUP BY year(o_orderdate)")
+sql("agg_group_expression", "orders", "SELECT CAST(year(o_orderdate) AS int) AS y, CAST(count(*) AS bigint) AS n FROM orders GROUP BY CAST(year(o_orderdate) AS int)")
 sql("agg_count_nulls", "orders", "SELECT o_orderpriority, CAST(count(nullif(o_orderstatus, 'F')) AS bigint) AS filled, CAST(count(*) AS bigint) AS n FROM orders GROUP BY o_orderpriority")
 sql("agg_having", "orders", "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) >= 15 AND max(o_totalprice) > 100000")
 sql("agg_distinct", "lineitem", "SELECT l_returnflag, CAST(count(DISTINCT l_suppkey) AS bigint) AS n, CAST(sum(DISTINCT l_linenumber) AS bigint) AS s, avg(DISTINCT l_linenumber) AS a FROM lineitem GROUP BY l_returnflag")
@@ -258,13 +258,13 @@ def round_trunc(spark, sf_dir):
     return v.select("p_partkey", numbers.round_(F.col("v")).alias("rounded"), numbers.trunc(F.col("v")).alias("truncated"), numbers.round_(F.col("v"), "bigint").alias("big"))
 
 
-@frame("SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, dayofweek(o_orderdate) AS w, CAST(o_orderdate AS date) AS dt FROM orders")
+@frame("SELECT o_orderkey, year(o_orderdate)::int AS y, month(o_orderdate)::int AS m, day(o_orderdate)::int AS d, quarter(o_orderdate)::int AS q, dayofweek(o_orderdate)::int AS w, CAST(o_orderdate AS date) AS dt FROM orders")
 def date_parts(spark, sf_dir):
     d = F.col("o_orderdate")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.year(d).alias("y"), F.month(d).alias("m"), F.day(d).alias("d"), F.quarter(d).alias("q"), dates.day_of_week(d).alias("w"), dates.timestamp_to_date(d).alias("dt"))
 
 
-@frame("SELECT event_id, hour(ts) AS h, minute(ts) AS m, second(ts) AS s, ((hour(ts) * 60 + minute(ts)) * 60 + second(ts)) * 1000 AS t FROM events")
+@frame("SELECT event_id, hour(ts)::int AS h, minute(ts)::int AS m, second(ts)::int AS s, ((hour(ts) * 60 + minute(ts)) * 60 + second(ts)) * 1000 AS t FROM events")
 def time_parts(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", dates.timestamp_to_time(F.col("ts")).alias("t"))
     t = F.col("t")
