@@ -82,8 +82,10 @@ def mix(documents: DataFrame, words, **targets) -> DataFrame:
     """``documents`` as often as the mix takes each: same columns, repeats as rows.
 
     words: column expression of a document's size. Null texts count as none and
-    are then never short of their target. Rows that repeat share one draw.
+    are then never short of their target. Rows that repeat share one draw. Columns
+    of any name pass through.
     """
     sources = plan(document_sizes(documents, words), **targets)
-    taken = with_copies(documents, sources, "source", F.xxhash64("doc_id", "text")).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "source", F.xxhash64("doc_id", "text").alias("draw"))
+    taken = with_copies(packed, sources, "source", F.col("draw")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import extend, materialize, shipped
+from quern.llm.common import extend, fresh, materialize, shipped
 
 shipped(__name__)
 
@@ -432,5 +432,6 @@ def deduplicated(documents: DataFrame, identity: str = "doc_id", text: str = "te
     rows = marked.join(found, "fp").withColumn("own", F.col(identity).eqNullSafe(F.col("component_id"))).withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp")))
     best = rows.where("own").groupBy(F.col("component_id").alias("_c"), F.col("alone").alias("_a")).agg(F.min("copy").alias("_best"))
     rows = rows.join(best, F.col("component_id").eqNullSafe(F.col("_c")) & F.col("alone").eqNullSafe(F.col("_a")), "left")
-    gone = materialize(rows.where(~(F.col("own") & F.col("copy").eqNullSafe(F.col("_best")))).select(F.col(identity).alias("_id"), F.col("copy").alias("_copy")).distinct())
-    return documents.join(gone, F.col(identity).eqNullSafe(F.col("_id")) & F.xxhash64(text).eqNullSafe(F.col("_copy")), "left_anti")
+    own_id, own_copy = fresh(documents, "_id"), fresh(documents, "_copy")
+    gone = materialize(rows.where(~(F.col("own") & F.col("copy").eqNullSafe(F.col("_best")))).select(F.col(identity).alias(own_id), F.col("copy").alias(own_copy)).distinct())
+    return documents.join(gone, F.col(identity).eqNullSafe(F.col(own_id)) & F.xxhash64(text).eqNullSafe(F.col(own_copy)), "left_anti")

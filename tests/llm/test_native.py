@@ -118,7 +118,9 @@ def test_mix_of_awkward_rows(spark, folder):
 
 def test_mix_repeats_rows(spark, folder):
     docs = spark.read.parquet(f"{folder([(k, 'a b c', 's' if k % 2 else 't') for k in range(200)])}/documents.parquet")
+    docs = docs.withColumns({"copies": F.lit("x"), "target": F.lit("y"), "row": F.lit("z")})
     mixed = mixing.mix(docs, F.lit(3))
+    assert {(r.copies, r.target, r.row) for r in mixed.collect()} == {("x", "y", "z")}
     assert mixed.columns == docs.columns
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert max(counts.values()) <= 2 and 280 <= sum(counts.values()) <= 320

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import simhash
 from quern.llm.queries import op3_simhash
@@ -139,7 +140,7 @@ def test_deduplication_finds_near_copies_and_keeps_the_rest(spark):
 def test_deduplication_of_awkward_rows(spark):
     text = "one two three four five six seven"
     rows = [(2, text), (1, text.upper() + "!"), (1, text), (None, text), (None, "no id of its own in here"), (None, "nor has this other one any"), (7, None), (8, ""), (9, " . ")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_id": F.lit(1), "_copy": F.lit(2), "copy": F.lit(3)})
     kept = sorted(((r.doc_id, r.text) for r in simhash.deduplicated(df).collect()), key=str)
     assert [k for k in kept if k[0] is None] == [rows[4], rows[5]]
     assert len([k for k in kept if k[0] == 1]) == 1 and (2, text) not in kept and (None, text) not in kept
