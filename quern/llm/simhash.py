@@ -428,10 +428,11 @@ def deduplicated(documents: DataFrame, identity: str = "doc_id", text: str = "te
     radius = int(64 * lanes * (math.acos(2 * likeness / (1 + likeness)) / math.pi + margin))
     marked = materialize(fingerprints(documents.select(identity, text), text, width, lanes, plain=False).select(identity, F.xxhash64(text).alias("copy"), "fp"))
     found = groups(marked, radius, bands, taken, identity=identity)
-    # All on short rows; texts meet only the rows that go, which are few enough to be broadcast or else joined by sorting.
+    # All on short rows; texts meet only the rows that go. That join sorts at every size: a plan that broadcasts
+    # what goes while it is small would move no text on small inputs and all of it on large ones.
     rows = marked.join(found, "fp").withColumn("own", F.col(identity).eqNullSafe(F.col("component_id"))).withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp")))
     best = rows.where("own").groupBy(F.col("component_id").alias("_c"), F.col("alone").alias("_a")).agg(F.min("copy").alias("_best"))
     rows = rows.join(best, F.col("component_id").eqNullSafe(F.col("_c")) & F.col("alone").eqNullSafe(F.col("_a")), "left")
     own_id, own_copy = fresh(documents, "_id"), fresh(documents, "_copy")
     gone = materialize(rows.where(~(F.col("own") & F.col("copy").eqNullSafe(F.col("_best")))).select(F.col(identity).alias(own_id), F.col("copy").alias(own_copy)).distinct())
-    return documents.join(gone, F.col(identity).eqNullSafe(F.col(own_id)) & F.xxhash64(text).eqNullSafe(F.col(own_copy)), "left_anti")
+    return documents.join(gone.hint("merge"), F.col(identity).eqNullSafe(F.col(own_id)) & F.xxhash64(text).eqNullSafe(F.col(own_copy)), "left_anti")
