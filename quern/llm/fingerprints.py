@@ -105,13 +105,14 @@ def fingerprinted(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.drop("runs").withColumn("runs", winnow(F.col(text)))
 
 
-def with_next(documents: DataFrame, identity: str, carried: list[str], ties: list[str]) -> DataFrame:
-    """``documents`` with ``next``: a struct of the ``carried`` columns of the next row by descending identity.
+def with_next(documents: DataFrame, identity: str, carried: list[str], ties: list[str], computed: dict[str, Column] | None = None) -> DataFrame:
+    """``documents`` with the columns ``computed`` and ``next``: a struct of the ``carried`` columns of the next row by descending identity.
 
     The last row's next is the first. Nulls come last; ``ties`` order rows of
     equal identity. Rows are dealt into ranges between quantiles of the
     identity, each of which also holds, as guests, the rows that follow its
-    last: so one shuffle serves, and no range depends on another.
+    last: so one shuffle serves, and no range depends on another. What is
+    ``computed`` is so after the shuffle and never moves.
     """
     key = F.coalesce(F.col(identity), F.lit(LEAST))
     n, most = documents.agg(F.count(F.lit(1)), F.max(key)).first()
@@ -123,6 +124,7 @@ def with_next(documents: DataFrame, identity: str, carried: list[str], ties: lis
     # Ranges are closed above: the rows at a range's upper end follow the last row of the range above.
     places = let(own, lambda b: F.array_compact(F.array(
         place(b, False), F.when(F.try_element_at(longs(cuts), b + 1) == key, place(b + 1, True)), F.when(key == F.lit(most if most is not None else LEAST), place(F.lit(0), True)))))
-    dealt = documents.withColumn("_place", F.explode(places))
-    order = Window.partitionBy("_place.range").orderBy("_place.guest", F.desc_nulls_last(identity), *ties)
-    return dealt.withColumn("next", F.lead(F.struct(*carried)).over(order)).where("NOT _place.guest").drop("_place")
+    dealt = documents.withColumn("_place", F.explode(places)).withColumns({"_range": F.col("_place.range"), "_guest": F.col("_place.guest")}).drop("_place")
+    dealt = dealt.repartition("_range").withColumns(computed or {})
+    order = Window.partitionBy("_range").orderBy("_guest", F.desc_nulls_last(identity), *ties)
+    return dealt.withColumn("next", F.lead(F.struct(*carried)).over(order)).where("NOT _guest").drop("_range", "_guest")

@@ -100,8 +100,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", whole_text().alias("text"))
-    marked = fingerprints.fingerprinted(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    paired = fingerprints.with_next(marked, "doc_id", ["text", "runs"], ["text"])
+    paired = fingerprints.with_next(docs, "doc_id", ["text", "runs"], ["text"], {"runs": fingerprints.winnow(F.col("text")), "n_chars": F.char_length("text").cast("long")})
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     paired = paired.select("doc_id", "n_chars", "runs", F.col("next.runs").alias("next_runs"), F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut).alias("head"), F.substring("next.text", F.lit(1), cut).alias("tail"))
     edited = paired.select(
