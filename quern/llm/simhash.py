@@ -4,7 +4,8 @@ Fingerprints are made by majority over the hashes of word shingles. Only
 different fingerprints are compared, and only those that agree on one of a few
 bands of bits. With one more band than bits may differ, no pair within the
 radius is missed (the narrow form); wide fingerprints have bands enough to miss
-few of the pairs that are alike enough.
+few of the pairs that are alike enough, and their candidates are compared by
+the shingle sets themselves.
 
 Members of a bucket are stored by bit plane, 64 to a machine word. A query's bit
 turns a plane into differences, which carry-save counters of three operations a
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import extend, fresh, materialize, shipped
+from quern.llm.common import extend, fresh, materialize, pieces, shipped
 
 shipped(__name__)
 
@@ -37,6 +38,8 @@ HOT = 16_384
 #: Word pairs that are compared at a time; members from which a bucket is searched by itself; bits between two looks for words to abandon.
 AT_ONCE, LARGE, LOOK = 1 << 19, 256, 8
 ROUNDS = 60
+#: Texts of a group of candidates that a task compares as one block.
+TEXTS = 256
 
 
 def plain_words(text: str) -> list[bytes]:
@@ -79,14 +82,28 @@ def majority(hashes: np.ndarray, lanes: int) -> bytes:
     return b"".join(out)
 
 
-def hasher(width: int, lanes: int, plain: bool):
-    words = plain_words if plain else bare_words
-    return lambda texts: [pa.array([majority(shingle_hashes(words(t), width), lanes) for t in texts], pa.binary())]
+def hasher(width: int):
+    return lambda texts: [pa.array([majority(shingle_hashes(plain_words(t), width), 1) for t in texts], pa.binary())]
 
 
-def fingerprints(documents: DataFrame, text: str = "text", width: int = 3, lanes: int = 1, plain: bool = True, into: str = "fp") -> DataFrame:
-    """``documents`` with the binary SimHash of ``64 * lanes`` bits; null and empty texts have all bits zero."""
-    return extend(documents, text, {into: T.BinaryType()}, hasher, width, lanes, plain)
+def fingerprints(documents: DataFrame, text: str = "text", width: int = 3, into: str = "fp") -> DataFrame:
+    """``documents`` with the binary SimHash of 64 bits; null and empty texts have all bits zero."""
+    return extend(documents, text, {into: T.BinaryType()}, hasher, width)
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """Ascending hashes of the different shingles of a text's bare words."""
+    return np.unique(shingle_hashes(bare_words(text), width))
+
+
+def set_hasher(width: int, lanes: int):
+    """The wide SimHash of each text's shingle set, and a digest by which equal sets are known."""
+
+    def compute(texts):
+        sets = [shingle_set(t, width) for t in texts]
+        return [pa.array([majority(h, lanes) for h in sets], pa.binary()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())]
+
+    return compute
 
 
 # Buckets
@@ -351,6 +368,86 @@ def linked(fps: DataFrame, radius: int, parts: int, taken: int = 0, levels: int
     return every.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(linker(radius), "u binary, v binary")
 
 
+# Whole comparison of large groups
+
+
+def exhaustive(members: DataFrame, link, limit: int) -> DataFrame:
+    """u, v: edges enough to connect all pairs of nodes of a key (columns key, node, each pair once) that ``link`` finds alike.
+
+    link: from rows (key, node) to the edges inside each key. A key of over
+    ``limit`` members is dealt into blocks that have one member, the pivot, in
+    common. Members that come to hang together with it need no comparison with
+    each other; all others are then compared with all members, a pair of blocks
+    at a time. So a tight group costs two rows a member, whatever its size.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    sizes = materialize(sizes.select("key", "pivot", F.ceil(F.col("n") / F.lit(limit)).alias("blocks")))
+    dealt = materialize(members.join(sizes, "key").select("key", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    large, pivots = dealt.where("blocks > 1"), sizes.where("blocks > 1")
+    shared = pivots.select("key", F.col("pivot").alias("node"), numbers("blocks").alias("block"))
+    rows = dealt.select("key", "node", "block").unionByName(shared).distinct()
+    first = materialize(link(rows.select(F.xxhash64("key", "block").alias("key"), "node")))
+    if pivots.isEmpty():
+        return first
+    roots = components(first).select(F.col("node").alias("_n"), "root")
+    centre = pivots.join(roots, pivots.pivot == roots._n, "left").select("key", F.coalesce("root", "pivot").alias("centre"))
+    apart = large.join(roots, large.node == roots._n, "left").select("key", "node", "blocks", F.coalesce("root", "node").alias("root"))
+    apart = materialize(apart.join(centre, "key").where(F.col("root") != F.col("centre")).select("key", "node", "blocks"))
+    if apart.isEmpty():
+        return first
+    few = materialize(apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("others")))
+    one = large.join(few, "key").select("key", "node", "block", numbers("others").alias("other"))
+    two = apart.join(few, "key").select("key", "node", numbers("blocks").alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), "others").alias("other"))
+    return first.unionByName(materialize(link(one.unionByName(two).distinct().select(F.xxhash64("key", "block", "other").alias("key"), "node"))))
+
+
+def set_links(nodes: list[bytes], sets: list[np.ndarray], likeness: float) -> list[tuple[bytes, bytes]]:
+    """A star for each component of the links between sets of at least this Jaccard likeness; every pair that could join two is compared."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.r_[0, np.cumsum(sizes)]
+    held, made = np.zeros(len(codes), bool), []
+    open_ = np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        front = [start] if open_[start] else []
+        open_[start] = False
+        while front and open_.any():
+            x = front.pop()
+            own = codes[first[x] : first[x + 1]]
+            held[own] = True
+            both = np.bincount(owner[held[codes]], minlength=len(sets))
+            held[own] = False
+            near = np.nonzero(open_ & (both / np.maximum(sizes + sizes[x] - both, 1) >= likeness))[0]
+            open_[near] = False
+            front.extend(near.tolist())
+            made.extend((nodes[n], nodes[start]) for n in near)
+    return made
+
+
+def set_linker(width: int, likeness: float):
+    """From rows (key, node, text) in the order of keys to edges (u, v) between nodes whose shingle sets are alike enough."""
+
+    def edges(bucket: dict[bytes, np.ndarray]):
+        made = set_links(list(bucket), list(bucket.values()), likeness) if len(bucket) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.binary()) for i in (0, 1)], names=["u", "v"])
+
+    def run(batches):
+        key, bucket = None, {}
+        for batch in batches:
+            for small in pieces(batch):
+                for k, node, text in zip(*(small.column(c).to_pylist() for c in ("key", "node", "text")), strict=True):
+                    if k != key:
+                        yield edges(bucket)
+                        key, bucket = k, {}
+                    if node not in bucket:
+                        bucket[node] = shingle_set(text or "", width)
+        yield edges(bucket)
+
+    return run
+
+
 # Components
 
 
@@ -381,15 +478,19 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
 
 
+def with_least(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, component_id: the smallest ``first`` that links reach from each of ``nodes`` (node, first); nulls are never smallest."""
+    # Most nodes have no link and are their own component: only the others meet in an aggregate.
+    roots = roots.select(F.col("node").alias("_n"), "root")
+    least = nodes.join(roots, nodes.node == roots._n).groupBy("root").agg(F.min("first").alias("least"))
+    ties = materialize(roots.join(least, "root").select("_n", "least"))
+    return materialize(nodes.join(ties, nodes.node == ties._n, "left").select("node", F.coalesce("least", "first").alias("component_id")))
+
+
 def groups(marked: DataFrame, radius: int, parts: int, taken: int = 0, identity: str = "doc_id", fp: str = "fp") -> DataFrame:
     """fp, component_id: the smallest identity that links reach from each fingerprint of ``marked``; null identities are never smallest."""
-    nodes = materialize(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(identity).alias("first")))
-    roots = components(linked(nodes, radius, parts, taken))
-    # Most fingerprints have no link and are their own component: only the others meet in an aggregate.
-    tied = nodes.join(roots, nodes.fp == roots.node)
-    least = tied.groupBy("root").agg(F.min("first").alias("least"))
-    ties = materialize(roots.join(least, "root").select(F.col("node"), "least"))
-    return materialize(nodes.join(ties, nodes.fp == ties.node, "left").select("fp", F.coalesce("least", "first").alias("component_id")))
+    nodes = materialize(marked.groupBy(F.col(fp).alias("node")).agg(F.min(identity).alias("first")))
+    return with_least(nodes, components(linked(nodes.select(F.col("node").alias("fp")), radius, parts, taken))).withColumnRenamed("node", "fp")
 
 
 def with_components(documents: DataFrame, identity: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -415,22 +516,37 @@ def bands_for(likeness: float, documents: int, recall: float = 0.95) -> tuple[in
     return taken, bands, -(-taken * bands // 64)
 
 
-def deduplicated(documents: DataFrame, identity: str = "doc_id", text: str = "text", width: int = 5, likeness: float = 0.8, margin: float = 0.015) -> DataFrame:
+def deduplicated(documents: DataFrame, identity: str = "doc_id", text: str = "text", width: int = 5, likeness: float = 0.8, margin: float = 0.05) -> DataFrame:
     """``documents`` without near copies: of each group one text, of the smallest identity, stays (rows that repeat it wholly stay, too).
 
-    Texts are near copies if wide fingerprints of their ``width``-word shingles
-    differ in no more bits than those of texts with this Jaccard likeness do on
-    average, with ``margin`` for chance. Exact copies always meet. Rows without
-    identity stay only if their group has no other, one for each fingerprint; texts
-    without words are one group. Columns are those of ``documents``.
+    Texts are near copies if the sets of their ``width``-word shingles have at
+    least this Jaccard likeness. Candidates are texts whose wide fingerprints
+    differ in no more bits than those of such texts do on average, with
+    ``margin`` for chance; candidates that hang together are then compared by
+    the sets themselves. Exact copies always meet. Rows without identity stay
+    only if their group has no other, one for each set; texts without words are
+    one group. Columns are those of ``documents``.
     """
     taken, bands, lanes = bands_for(likeness, documents.count())
     radius = int(64 * lanes * (math.acos(2 * likeness / (1 + likeness)) / math.pi + margin))
-    marked = materialize(fingerprints(documents.select(identity, text), text, width, lanes, plain=False).select(identity, F.xxhash64(text).alias("copy"), "fp"))
-    found = groups(marked, radius, bands, taken, identity=identity)
+    texts = documents.select(F.col(identity).alias("_id"), F.col(text).alias("text"))
+    marked = extend(texts, "text", {"fp": T.BinaryType(), "node": T.BinaryType()}, set_hasher, width, lanes)
+    marked = materialize(marked.select(F.col("_id").alias(identity), F.xxhash64("text").alias("copy"), "fp", "node"))
+    nodes = materialize(marked.groupBy("node").agg(F.min(identity).alias("first"), F.min(F.struct(F.col(identity).alias("id"), "copy")).alias("one"), F.min("fp").alias("fp")))
+    roots = components(linked(nodes.select("fp").distinct(), radius, bands, taken)).withColumnRenamed("node", "_n")
+    members = nodes.join(roots, nodes.fp == roots._n, "left").select(F.coalesce("root", "fp").alias("key"), "node")
+    ones = nodes.select("node", "one")
+
+    def link(rows: DataFrame) -> DataFrame:
+        """Texts go to the rows of candidates, one text for each set."""
+        asked = rows.join(ones, "node").select("key", "node", F.col("one.id").alias("_one"), F.col("one.copy").alias("_copy"))
+        met = texts.join(asked.hint("merge"), F.col("_id").eqNullSafe(F.col("_one")) & F.xxhash64("text").eqNullSafe(F.col("_copy")))
+        return met.select("key", "node", "text").repartition("key").sortWithinPartitions("key").mapInArrow(set_linker(width, likeness), "u binary, v binary")
+
+    found = with_least(nodes.select("node", "first"), components(exhaustive(materialize(members), link, TEXTS)))
     # All on short rows; texts meet only the rows that go. That join sorts at every size: a plan that broadcasts
     # what goes while it is small would move no text on small inputs and all of it on large ones.
-    rows = marked.join(found, "fp").withColumn("own", F.col(identity).eqNullSafe(F.col("component_id"))).withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp")))
+    rows = marked.join(found, "node").withColumn("own", F.col(identity).eqNullSafe(F.col("component_id"))).withColumn("alone", F.when(F.col("component_id").isNull(), F.col("node")))
     best = rows.where("own").groupBy(F.col("component_id").alias("_c"), F.col("alone").alias("_a")).agg(F.min("copy").alias("_best"))
     rows = rows.join(best, F.col("component_id").eqNullSafe(F.col("_c")) & F.col("alone").eqNullSafe(F.col("_a")), "left")
     own_id, own_copy = fresh(documents, "_id"), fresh(documents, "_copy")

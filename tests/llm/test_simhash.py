@@ -152,3 +152,49 @@ def test_majority_counts_every_bit():
     h = np.array([0b11, 0b01, 0b01], np.uint64)
     assert simhash.majority(h, 1) == (1).to_bytes(8)
     assert simhash.majority(np.empty(0, np.uint64), 2) == bytes(16)
+
+
+def kept_by_brute_force(docs, likeness=0.8):
+    """Ids that stay, if each pair of different ids at this likeness is linked; all ids differ."""
+    sets = [(d, shingles(t)) for d, t in docs]
+    up = {d: d for d, _ in docs}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            if len(a & b) / len(a | b) >= likeness:
+                x, y = sorted((root(d), root(e)))
+                up[y] = x
+    return {root(d) for d in up}
+
+
+def changed(rng, words, part):
+    """The words with single ones replaced, about ``part`` of them, far apart: each breaks five shingles."""
+    out = list(words)
+    for i in range(3, len(out), int(1 / part)):
+        out[i] = f"x{rng.getrandbits(40)}"
+    return out
+
+
+@pytest.mark.parametrize("texts", [256, 8])
+def test_only_shingle_sets_alike_enough_are_near_copies(spark, monkeypatch, texts):
+    monkeypatch.setattr(simhash, "TEXTS", texts)
+    rng = random.Random(11)
+    docs = []
+    for k in range(12):
+        base = [f"w{rng.getrandbits(30)}" for _ in range(300)]
+        docs.append((100 * k, " ".join(base)))
+        for c in range(1, 7):  # one replaced word in 20 to 90: likeness 0.6 to 0.9
+            docs.append((100 * k + c, " ".join(changed(rng, base, 1 / rng.choice([25, 30, 35, 40, 90])))))
+    line = [f"l{rng.getrandbits(30)}" for _ in range(19)]
+    for d in (5000, 5001):  # one line many times over, and much that is their own
+        docs.append((d, " ".join(line * 20 + [f"o{rng.getrandbits(40)}" for _ in range(64)])))
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    right = kept_by_brute_force(docs)
+    assert right <= kept  # none goes without a partner
+    assert {5000, 5001} <= right
+    assert len(kept - right) <= 0.05 * (len(docs) - len(right))
