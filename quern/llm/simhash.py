@@ -116,8 +116,9 @@ def bits_of(fps: list[bytes]) -> np.ndarray:
 def banded(df: DataFrame, parts: int, taken: int, level: int) -> DataFrame:
     """key, path, fp: each fingerprint once for each of ``parts`` bands of the bits that its path has not used yet.
 
-    taken: bits of a band, 0 for all remaining bits divided evenly. path: the
-    bands chosen so far, as digits. key: what the chosen bands hold.
+    taken: bits of a band, 0 for all remaining bits divided evenly; further
+    levels always divide them so. path: the bands chosen so far, as digits. key:
+    what the chosen bands hold.
     """
 
     def run(batches):
@@ -132,8 +133,10 @@ def banded(df: DataFrame, parts: int, taken: int, level: int) -> DataFrame:
                 rows = np.nonzero(paths == path)[0]
                 left = np.arange(bits.shape[1])
                 for at in range(level - 1, -1, -1):
-                    left = np.setdiff1d(left, cut(left, parts, taken)[int(path) // parts**at % parts])
-                for b, band in enumerate(cut(left, parts, taken)):
+                    left = np.setdiff1d(left, cut(left, parts, taken if at == level - 1 else 0)[int(path) // parts**at % parts])
+                for b, band in enumerate(cut(left, parts, 0 if level else taken)):
+                    if not len(band):
+                        continue
                     new = int(path) * parts + b
                     with np.errstate(over="ignore"):
                         key = (keys[rows] + np.uint64(new + 1)) * np.uint64(0x9E3779B97F4A7C15)

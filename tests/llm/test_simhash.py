@@ -198,3 +198,13 @@ def test_only_shingle_sets_alike_enough_are_near_copies(spark, monkeypatch, text
     assert right <= kept  # none goes without a partner
     assert {5000, 5001} <= right
     assert len(kept - right) <= 0.05 * (len(docs) - len(right))
+
+
+def test_hot_buckets_of_wide_fingerprints(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.getrandbits(30)}" for _ in range(400)]
+    docs = [(0, " ".join(base))] + [(d, " ".join(base[:k] + [f"x{d}"] + base[k + 1 :])) for d, k in enumerate(range(5, 395, 6), 1)]
+    docs += [(1000 + d, " ".join(f"y{rng.getrandbits(40)}" for _ in range(100))) for d in range(30)]
+    monkeypatch.setattr(simhash, "HOT", 10)
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == kept_by_brute_force(docs) == {0, *range(1000, 1030)}
