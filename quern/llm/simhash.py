@@ -33,7 +33,7 @@ from quern.llm.common import extend, fresh, materialize, pieces, shipped
 shipped(__name__)
 
 SEED = 42
-#: Members of a bucket above which it is divided by further bands (narrow form).
+#: Members of a bucket above which it is divided: by further bands (narrow form) or into blocks (wide form).
 HOT = 16_384
 #: Word pairs that are compared at a time; members from which a bucket is searched by itself; bits between two looks for words to abandon.
 AT_ONCE, LARGE, LOOK = 1 << 19, 256, 8
@@ -348,12 +348,21 @@ def linker(radius: int):
 def linked(fps: DataFrame, radius: int, parts: int, taken: int = 0, levels: int = 4) -> DataFrame:
     """u, v: edges between fingerprints (column fp, each once) that lie within the radius, enough to connect all that do.
 
-    Buckets of over ``HOT`` members are divided by another band of the bits that
-    are left, up to ``levels`` times. With ``parts`` of ``radius + 1`` and
-    ``taken`` 0 that loses nothing: the pairs of such a bucket agree on one of
-    the new bands, too.
+    Narrow form (``parts`` of ``radius + 1``, ``taken`` 0): buckets of over
+    ``HOT`` members are divided by another band of the bits that are left, up to
+    ``levels`` times. That loses nothing: the pairs of such a bucket agree on one
+    of the new bands, too. Wide form (``taken`` bits a band): such buckets are
+    compared whole, in blocks, so that a pair needs no further band in common.
     """
+    link = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(linker(radius), "u binary, v binary")
     rows = banded(fps.select("fp"), parts, taken, 0)
+    if taken:
+        hot = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
+        if hot.isEmpty():
+            return link(rows.select("key", "fp"))
+        whole = materialize(rows.join(hot, "key", "left_semi").select("key", F.col("fp").alias("node")))
+        cold = link(rows.join(hot, "key", "left_anti").select("key", "fp"))
+        return cold.unionByName(exhaustive(whole, lambda df: link(df.withColumnRenamed("node", "fp")), HOT))
     found = []
     for level in range(1, levels + 1):
         if level == levels:
@@ -368,7 +377,7 @@ def linked(fps: DataFrame, radius: int, parts: int, taken: int = 0, levels: int
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(linker(radius), "u binary, v binary")
+    return link(every.select("key", "fp"))
 
 
 # Whole comparison of large groups

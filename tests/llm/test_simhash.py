@@ -208,3 +208,23 @@ def test_hot_buckets_of_wide_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 10)
     kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert kept == kept_by_brute_force(docs) == {0, *range(1000, 1030)}
+
+
+def test_hot_wide_buckets_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = rng.getrandbits(13)  # all agree on the first band
+    fresh = lambda: shared << 307 | rng.getrandbits(307)
+    spread = lambda n: n ^ sum(1 << 320 - 13 * b - 1 - rng.randrange(13) for b in range(1, 24))  # a bit of each other band
+    numbers = [fresh() for _ in range(40)]
+    numbers += [spread(n) for n in numbers[:30]]
+    family = fresh()
+    numbers += [family ^ 1 << k for k in range(40)]
+    monkeypatch.setattr(simhash, "HOT", 10)
+    fps = spark.createDataFrame([(bytearray(n.to_bytes(40)),) for n in numbers], "fp binary")
+    roots = {bytes(r.node): bytes(r.root) for r in simhash.components(simhash.linked(fps, 53, 24, 13)).collect()}
+    classes, got = {}, {}
+    for n, c in zip(numbers, brute_components(list(enumerate(numbers)), 53), strict=True):
+        classes.setdefault(c, set()).add(n)
+        got.setdefault(roots.get(n.to_bytes(40), n.to_bytes(40)), set()).add(n)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values()))
+    assert len(classes) == 41
