@@ -48,8 +48,14 @@ def plain_words(text: str) -> list[bytes]:
 
 
 def bare_words(text: str) -> list[bytes]:
-    """Letters and digits alone, in lower case."""
-    return [w.encode() for w in re.findall(r"\w+", text.lower())]
+    """Letters and digits alone, in lower case; in texts without any, what stands between white space.
+
+    Full stops alone are no text.
+    """
+    words = re.findall(r"\w+", text.lower())
+    if not words and text.strip(". \t\n\v\f\r"):
+        return plain_words(text)
+    return [w.encode() for w in words]
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -536,8 +542,9 @@ def deduplicated(documents: DataFrame, identity: str = "doc_id", text: str = "te
     differ in no more bits than those of such texts do on average, with
     ``margin`` for chance; candidates that hang together are then compared by
     the sets themselves. Exact copies always meet. Rows without identity stay
-    only if their group has no other, one for each set; texts without words are
-    one group. Columns are those of ``documents``.
+    only if their group has no other, one for each set; empty texts and
+    those of full stops alone are one group, texts of other marks alone meet by
+    what stands between white space. Columns are those of ``documents``.
     """
     taken, bands, lanes = bands_for(likeness, documents.count())
     radius = int(64 * lanes * (math.acos(2 * likeness / (1 + likeness)) / math.pi + margin))

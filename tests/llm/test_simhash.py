@@ -228,3 +228,9 @@ def test_hot_wide_buckets_lose_no_pair(spark, monkeypatch):
         got.setdefault(roots.get(n.to_bytes(40), n.to_bytes(40)), set()).add(n)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values()))
     assert len(classes) == 41
+
+
+def test_texts_of_marks_alone_meet_only_their_equals(spark):
+    rows = [(1, "+++"), (2, "***"), (3, "+++"), (4, "\U0001f600 \U0001f680"), (5, "\U0001f680"), (6, "* * *"), (7, " *** "), (8, None), (9, ". ."), (10, "")]
+    kept = sorted(r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [1, 2, 4, 5, 6, 8]
