@@ -86,11 +86,9 @@ def scan(documents: DataFrame, text: str = "text", known=KNOWN) -> DataFrame:
     pairs = [(r.digest, r.license) for r in table.collect()]  # the fixed list above
     ids = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda s: s.rlike("(?i)licen[cs]e|source code form"))
-    notices = F.array_sort(F.array_distinct(F.array_compact(F.transform(lines, lambda s: F.try_element_at(ids, digest(s))))))
+    notices = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.split(whole, "\n"), lambda s: F.try_element_at(ids, digest(s))))))
     d = documents.drop("digest", "license", "notices").withColumn("digest", digest(whole))
-    d = d.join(F.broadcast(table), "digest", "left")
-    return d.withColumn("notices", F.when(whole.rlike("(?i)licen[cs]e|source code form"), notices).otherwise(F.array().cast("array<string>")))
+    return d.join(F.broadcast(table), "digest", "left").withColumn("notices", notices)
 
 
 def oracle(known=KNOWN) -> str:

@@ -191,3 +191,10 @@ def test_license_forms_meet(spark):
     assert sorted((r.doc_id, r.license or "") for r in rows) == [(1, "MIT"), (1, "MIT"), (2, "MIT"), (3, ""), (4, ""), (5, ""), (6, "")]
     assert {r.doc_id: list(r.notices) for r in rows}[6] == ["CC-BY-NC-4.0", "MIT"]
     assert licenses.scan(df.where("false")).count() == 0
+
+
+def test_every_known_line_is_a_notice(spark):
+    lines = [(i, t) for i, t in licenses.KNOWN if "\n" not in t]
+    docs = [(k, f"some text\n  {t.upper()}\nand more") for k, (_, t) in enumerate(lines)]
+    rows = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.notices for r in rows} == {k: [i] for k, (i, _) in enumerate(lines)}
