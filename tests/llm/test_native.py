@@ -198,3 +198,14 @@ def test_every_known_line_is_a_notice(spark):
     docs = [(k, f"some text\n  {t.upper()}\nand more") for k, (_, t) in enumerate(lines)]
     rows = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.notices for r in rows} == {k: [i] for k, (i, _) in enumerate(lines)}
+
+
+def test_whole_license_texts_are_known(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3-only"}
+    docs = []
+    for name, i in files.items():
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+            text = f.read()
+        docs += [(i, text), (i, "\n\n" + text.upper().replace("\n", " \n")), ("", text + "\nand more")]
+    rows = licenses.scan(spark.createDataFrame(docs, "i string, text string")).collect()
+    assert [r.license or "" for r in sorted(rows, key=lambda r: (r.i, r.text))] == [i for i, _ in sorted(docs)]
