@@ -126,6 +126,14 @@ def join_legacy_nulls(spark, sf_dir):
     return nullmode.join_equal(a, b, [("s", "t")]).select(F.col("o_orderkey").alias("k"), "other")
 
 
+# Whole tables: the null of half of the orders meets the one customer without a key, so that the result grows with the orders.
+@frame("SELECT o_orderkey, c_name FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END k FROM orders) o JOIN (SELECT nullif(c_custkey, 1) k, c_name FROM customer) c ON o.k IS NOT DISTINCT FROM c.k")
+def join_legacy_nulls_whole(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_custkey")).alias("k"))
+    c = table(spark, sf_dir, "customer").select(F.nullif("c_custkey", F.lit(1)).alias("c"), "c_name")
+    return nullmode.join_equal(o, c, [("k", "c")]).select("o_orderkey", "c_name")
+
+
 @frame("""SELECT o_orderkey, (s IS NOT DISTINCT FROM t) AS eq, coalesce(s < t, s IS NULL AND t IS NOT NULL) AS lt, NOT coalesce(t < s, t IS NULL AND s IS NOT NULL) AS le
     FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') s, nullif(o_orderstatus, 'O') t FROM orders)""")
 def null_mode_comparisons(spark, sf_dir):
@@ -199,6 +207,8 @@ def table_comparison(spark, sf_dir):
 
 sql("order_nulls", "orders", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s, o_orderkey LIMIT 40", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s ASC NULLS FIRST, o_orderkey LIMIT 40")
 sql("order_nulls_desc", "orders", "SELECT o_orderkey, nullif(o_orderstatus, 'O') AS s FROM orders ORDER BY s DESC, o_orderkey DESC LIMIT 40", "SELECT o_orderkey, nullif(o_orderstatus, 'O') AS s FROM orders ORDER BY s DESC NULLS LAST, o_orderkey DESC LIMIT 40")
+sql("order_nulls_whole", "orders", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s, o_orderkey", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s ASC NULLS FIRST, o_orderkey")
+sql("order_nulls_desc_whole", "orders", "SELECT o_orderkey, nullif(o_orderstatus, 'O') AS s FROM orders ORDER BY s DESC, o_orderkey DESC", "SELECT o_orderkey, nullif(o_orderstatus, 'O') AS s FROM orders ORDER BY s DESC NULLS LAST, o_orderkey DESC")
 sql("limit_offset", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20, 15", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 20", legacy=True)
 sql("topk_tiebreak", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_quantity DESC, l_orderkey, l_linenumber LIMIT 25")
 sql("limit_in_subquery", "orders customer", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30) t)")
