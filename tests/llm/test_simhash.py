@@ -234,3 +234,14 @@ def test_texts_of_marks_alone_meet_only_their_equals(spark):
     rows = [(1, "+++"), (2, "***"), (3, "+++"), (4, "\U0001f600 \U0001f680"), (5, "\U0001f680"), (6, "* * *"), (7, " *** "), (8, None), (9, ". ."), (10, "")]
     kept = sorted(r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept == [1, 2, 4, 5, 6, 8]
+
+
+def test_the_number_of_documents_does_not_change_what_is_alike(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = []
+    for k in range(15):
+        base = [f"w{rng.getrandbits(30)}" for _ in range(300)]
+        docs += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(changed(rng, base, 1 / 38))), (10 * k + 2, " ".join(changed(rng, base, 1 / 90)))]
+    df, right, wide = spark.createDataFrame(docs, "doc_id long, text string"), kept_by_brute_force(docs), simhash.bands_for(0.8, 2**25)
+    monkeypatch.setattr(simhash, "bands_for", lambda *_: wide)
+    assert {r.doc_id for r in simhash.deduplicated(df).collect()} == right == {10 * k + c for k in range(15) for c in (0, 1)}
