@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import gc
+import re
 import sys
+import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -29,27 +33,66 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a local session gets one of its own; on a cluster, where
+    executors don't see each other's disks, that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/quern-checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+#: Paths of the tables that ``materialize`` has written and ``release`` has not deleted.
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: Tables written inside each open ``scope``, the innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
-    The folder goes when the session ends. The planner knows the size of what it
-    reads, so that small results are broadcast and large ones are not.
+    The folder goes with ``release``, at the end of the ``scope`` it was written
+    in, or when the session ends. The planner knows the size of what it reads,
+    so that small results are broadcast and large ones are not.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quern/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = located(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+def located(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more; others are left alone."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            where, files = located(table.sparkSession, path)
+            files.delete(where, True)
+
+
+@contextmanager
+def scope():
+    """Tables that are written inside are deleted at the end: what is lazy and reads them must be written before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        release(*_scopes.pop())
 
 
 def fresh(df: DataFrame, name: str) -> str:
