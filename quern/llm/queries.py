@@ -31,14 +31,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near equal bytes; copies of a text stay in one range of keys, so they meet in one shard unless that overfills it."""
     rows = documents(spark, sf_dir).select(
         "doc_id", (F.octet_length(whole_text()) + 1).cast("long").alias("size"), F.crc32(whole_text()).alias("text_crc32"), F.xxhash64(whole_text()).alias("key"))
-    out = sharding.shard(materialize(rows), "key", "size", "doc_id")
+    out = sharding.shard(rows, "key", "size", "doc_id")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.document_sizes(documents(spark, sf_dir), word_count())
-    mixed = mixing.with_copies(sizes, mixing.plan(sizes), "source", F.col("draw"))
+    mixed = mixing.with_copies(sizes, mixing.plan(sizes), "source", F.col("size"), F.col("draw"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")
 
 

@@ -60,6 +60,16 @@ def test_small_groups_of_copies_share_a_shard(spark, folder):
     assert all(len(s) == 1 for s in shards.values())
 
 
+def test_equal_rows_and_missing_ids_part_evenly(spark, folder):
+    equal = [(7, "the same text again " * 10, "s")] * 4000
+    check_shards(q.op4_sharding(spark, folder(equal)).collect(), equal, 4000 * 201 / 8 * 0.02)
+    nameless = [(None, f"text {k % 3} " * 20, "s") for k in range(4000)]
+    rows = q.op4_sharding(spark, folder(nameless)).collect()
+    sizes = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= sum(sizes) / 8 * 0.02
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in range(8))
+
+
 def test_shard_replaces_clashing_columns(spark):
     df = spark.createDataFrame([(1, 5, 9, 9)], "k long, n long, shard int, slot int")
     assert sharding.shard(df, "k", "n", "k", 3).collect()[0].slot == 0
@@ -110,6 +120,32 @@ def test_mix_meets_targets(spark, folder):
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in q.op9_mixing(spark, path).collect())
 
 
+def test_chance_of_an_extra_copy_is_the_fraction(spark, folder):
+    docs = [(k, "w " * (1 + k % 5), f"s{k:04d}") for k in range(900)]
+    rows = q.op9_mixing(spark, folder(docs)).collect()
+    check_mix(rows, docs, 10.0)
+    for rate in {round(r.target / r.size, 6) for r in rows}:
+        copies = [r.copies for r in rows if round(r.target / r.size, 6) == rate]
+        if len(copies) > 50:
+            assert abs(sum(copies) / len(copies) - rate) <= 4 * 0.5 / len(copies) ** 0.5
+            assert set(copies) == {int(rate), int(rate) + 1} or rate == 2
+    # One long document among short ones has the same chance, whatever the source needs.
+    docs = [(100 * s + k, "w " * (400 if k == 0 else 5), f"t{s:03d}") for s in range(90) for k in range(10)]
+    rows = q.op9_mixing(spark, folder(docs)).collect()
+    for w in (1.0, 1.5, 0.5):
+        for long in (True, False):
+            some = [r for r in rows if (r.size == 400) == long and round(r.target / r.source_size, 3) == w]
+            if some:
+                assert abs(sum(r.copies for r in some) / len(some) - w) <= 4 * 0.5 / 30**0.5
+
+
+def test_mix_of_many_sources_and_a_hot_one(spark, folder):
+    docs = [(k, "w " * (1 + k % 40), "hot" if k % 3 == 0 else f"host{k % 900}") for k in range(3600)]
+    check_mix(q.op9_mixing(spark, folder(docs)).collect(), docs, 1.5)
+    hot = [r for r in q.op9_mixing(spark, folder(docs)).collect() if r.source == "hot"]
+    assert abs(sum(r.taken for r in hot) / hot[0].target - 1) < 0.005
+
+
 def test_mix_of_awkward_rows(spark, folder):
     check_mix(q.op9_mixing(spark, folder(AWKWARD)).collect(), AWKWARD, 10.0)
     assert q.op9_mixing(spark, folder([])).count() == 0
