@@ -8,7 +8,8 @@ then share a chosen hash, and its positions say where the passage lies.
 A chosen run is one long: the hash's upper 32 bits above the position counted
 backwards, so that the least value is the rightmost of the least hashes. Windows
 of 2, 4, 8, ... runs are minima of two half as wide, so that a window costs the
-logarithm of its width.
+logarithm of its width. A text is hashed in slices of ``SLICE`` windows, of which
+only the chosen runs stay: a task holds a slice's hashes, never a long text's.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import bucket_of, longs
+from quern.llm.common import bucket_of, fresh, longs
 
 GRAM, WINDOW = 16, 32
 PLACES = 1 << 31
 LEAST = -(2**63)
-#: Rows of a range of neighbours, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 256, 8192
+#: Windows of a slice.
+SLICE = 1 << 15
+#: Rows and bytes of a range of neighbours that are aimed at, and the most ranges.
+RANGE_ROWS, RANGE_BYTES, MOST_RANGES = 256, 1 << 20, 1 << 16
 
 
 def let(value: Column, use) -> Column:
@@ -52,11 +55,22 @@ def window_minima(runs: Column) -> Column:
     return runs
 
 
+def chosen(data: Column, before: Column, least: Column) -> Column:
+    """The different runs that the windows of some bytes choose, by position; at least ``least`` windows are asked, also short ones."""
+    def part(d: Column, at: Column) -> Column:
+        runs = grams(F.substring(d, at + 1, F.lit(SLICE + GRAM + WINDOW - 2)), before + at)
+        return let(window_minima(runs), lambda m: F.array_distinct(F.slice(m, F.lit(1), F.greatest(F.size(m) - (WINDOW - 1), least))))
+
+    def parts(d: Column) -> Column:
+        windows = F.greatest(F.octet_length(d) - (GRAM + WINDOW - 2), F.lit(1))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((windows - 1) / SLICE).cast("int")), lambda k: part(d, k * SLICE)))
+
+    return F.array_distinct(let(data, parts))
+
+
 def winnow(text: Column) -> Column:
     """Chosen runs of a text, by position. Null and empty texts have one run, of no bytes."""
-    data = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
-    whole = lambda m: F.slice(m, F.lit(1), F.greatest(F.size(m) - (WINDOW - 1), F.lit(1)))
-    return F.array_distinct(let(window_minima(grams(data, F.lit(0))), whole))
+    return chosen(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), F.lit(0), F.lit(1))
 
 
 def position(run: Column) -> Column:
@@ -93,11 +107,10 @@ def winnow_replaced(runs: Column, head: Column, tail: Column) -> Column:
         last = F.array_min(F.filter(s["runs"], lambda v: position(v).between(s["new"] - 2, s["new"] + (WINDOW - 3))))
         return F.when(s["new"] > 1, let(last, lambda m: F.filter(s["runs"], lambda v: position(v) <= position(m)))).otherwise(F.array().cast("array<bigint>"))
 
-    def fresh(s: Column) -> Column:
-        minima = window_minima(grams(F.substring(s["data"], s["new"], F.octet_length(s["data"])), s["new"] - 1))
-        return let(minima, lambda m: F.slice(m, F.lit(1), F.greatest(F.size(m) - (WINDOW - 1), F.when(s["new"] > 1, 0).otherwise(1))))
+    def added(s: Column) -> Column:
+        return chosen(F.substring(s["data"], s["new"], F.octet_length(s["data"])), s["new"] - 1, F.when(s["new"] > 1, 0).otherwise(1))
 
-    return let(F.struct(runs.alias("runs"), new.alias("new"), data.alias("data")), lambda s: F.array_distinct(F.concat(old(s), fresh(s))))
+    return let(F.struct(runs.alias("runs"), new.alias("new"), data.alias("data")), lambda s: F.array_distinct(F.concat(old(s), added(s))))
 
 
 def fingerprinted(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -112,11 +125,16 @@ def with_next(documents: DataFrame, identity: str, carried: list[str], ties: lis
     equal identity. Rows are dealt into ranges between quantiles of the
     identity, each of which also holds, as guests, the rows that follow its
     last: so one shuffle serves, and no range depends on another. What is
-    ``computed`` is so after the shuffle and never moves.
+    ``computed`` is so after the shuffle and never moves. Columns named ``next``
+    or like a computed one are replaced; no rows give no rows.
     """
     key = F.coalesce(F.col(identity), F.lit(LEAST))
-    n, most = documents.agg(F.count(F.lit(1)), F.max(key)).first()
-    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
+    size = F.lit(0)
+    for c in carried:
+        if c in documents.columns:
+            size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    n, most, held = documents.agg(F.count(F.lit(1)), F.max(key), F.sum(size.cast("long"))).first()
+    ranges = max(1, min(MOST_RANGES, max(n // RANGE_ROWS, (held or 0) // RANGE_BYTES)))
     shares = F.split(F.lit(",".join(repr(i / ranges) for i in range(1, ranges + 1))), ",").cast("array<double>")
     cuts = sorted(set(documents.agg(F.percentile_approx(key, shares, F.lit(20 * ranges))).first()[0] or []))
     own = bucket_of(key, cuts)
@@ -124,7 +142,7 @@ def with_next(documents: DataFrame, identity: str, carried: list[str], ties: lis
     # Ranges are closed above: the rows at a range's upper end follow the last row of the range above.
     places = let(own, lambda b: F.array_compact(F.array(
         place(b, False), F.when(F.try_element_at(longs(cuts), b + 1) == key, place(b + 1, True)), F.when(key == F.lit(most if most is not None else LEAST), place(F.lit(0), True)))))
-    dealt = documents.withColumn("_place", F.explode(places)).withColumns({"_range": F.col("_place.range"), "_guest": F.col("_place.guest")}).drop("_place")
-    dealt = dealt.repartition("_range").withColumns(computed or {})
-    order = Window.partitionBy("_range").orderBy("_guest", F.desc_nulls_last(identity), *ties)
-    return dealt.withColumn("next", F.lead(F.struct(*carried)).over(order)).where("NOT _guest").drop("_range", "_guest")
+    at = fresh(documents, "_place")
+    dealt = documents.drop("next").withColumn(at, F.explode(places)).repartition(F.col(at)["range"]).withColumns(computed or {})
+    order = Window.partitionBy(F.col(at)["range"]).orderBy(F.col(at)["guest"], F.desc_nulls_last(identity), *ties)
+    return dealt.withColumn("next", F.lead(F.struct(*carried)).over(order)).where(~F.col(at)["guest"]).drop(at)
