@@ -8,6 +8,7 @@ truncated totals for every context limit without another look at a text.
 from __future__ import annotations
 
 import base64
+import re
 
 import pyarrow as pa
 import tiktoken
@@ -21,16 +22,39 @@ shipped(__name__)
 
 #: Lengths of a block of the histogram: suffix sums go over blocks, then inside each.
 BLOCK = 4096
+#: How patterns must end for long white space to be known as one piece, and what they take for white space.
+TAIL = r"\s+(?!\S)|\s+"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters of white space in a row from which the pattern isn't asked: looking back over many more overflows its stack.
+LONG = 100_000
 
 
 def counter(file, pattern):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.value.splitlines())}
     encoding = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [pa.array([len(encoding.encode_ordinary(t)) for t in texts], pa.int64())]
+    blank = re.compile(f"[{SPACE}]{{{LONG},}}")
+
+    def count(text: str) -> int:
+        if len(text) < LONG or not pattern.endswith(TAIL):
+            return len(encoding.encode_ordinary(text))
+        tokens, at = 0, 0
+        for run in blank.finditer(text):
+            # White space is one piece but for its last character where a word follows.
+            end = run.end() - (run.end() < len(text))
+            tokens += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end].encode()))
+            at = end
+        return tokens + len(encoding.encode_ordinary(text[at:]))
+
+    return lambda texts: [pa.array([count(t) for t in texts], pa.int64())]
 
 
 def with_lengths(documents: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``documents`` with ``n_tokens`` (long): the length of the text under the byte-level ranks at ``path``; null texts have 0."""
+    """``documents`` with ``n_tokens`` (long): the length of the text under the byte-level ranks at ``path``.
+
+    Null and empty texts have 0; long white space is counted apart, with the same
+    result. Rows that repeat stay; a column named ``n_tokens`` is replaced; no
+    rows give no rows.
+    """
     with open(path, "rb") as f:
         file = documents.sparkSession.sparkContext.broadcast(f.read())
     return extend(documents, text, {"n_tokens": T.LongType()}, counter, file, pattern)
@@ -64,13 +88,14 @@ def context_table(hist: DataFrame) -> DataFrame:
 
 
 def truncated_totals(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """limit, tokens, docs_cut for any limits, also those that are no document's length."""
-    at = hist.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long").repartition(1)
-    cut = F.sum(F.least("length", "limit") * F.col("n_docs"))
-    exploded = hist.withColumn("limit", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits]))) if limits else None
-    if exploded is None:
-        return at.select("limit", F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("docs_cut"))
-    return exploded.groupBy("limit").agg(cut.alias("tokens"), F.sum(F.when(F.col("length") > F.col("limit"), F.col("n_docs")).otherwise(0)).alias("docs_cut"))
+    """limit, tokens, docs_cut for any limits, each once, also those that are no document's length; an empty histogram has zeros."""
+    if not limits:
+        return hist.sparkSession.createDataFrame([], "limit long, tokens long, docs_cut long")
+    asked = F.explode(F.array(*[F.lit(x).cast("long") for x in sorted({int(x) for x in limits})])).alias("limit")
+    none = hist.sparkSession.range(1).select(F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("n_docs"))
+    rows = hist.select(F.col("length").cast("long").alias("length"), F.col("n_docs").cast("long").alias("n_docs")).unionByName(none)
+    return rows.select("length", "n_docs", asked).groupBy("limit").agg(
+        F.sum(F.least("length", "limit") * F.col("n_docs")).alias("tokens"), F.sum(F.when(F.col("length") > F.col("limit"), F.col("n_docs")).otherwise(0)).alias("docs_cut"))
 
 
 def quantile(hist: DataFrame, share: float) -> DataFrame:

@@ -48,6 +48,26 @@ def test_histograms_across_blocks_and_limits(spark):
     assert token_counts.context_table(token_counts.histogram(df.where("false"))).count() == 0
 
 
+def test_limits_that_repeat_and_no_documents(spark):
+    h = spark.createDataFrame([(16, 2)], "length long, n_docs long")
+    assert [tuple(r) for r in token_counts.truncated_totals(h, [6, 6]).collect()] == [(6, 12, 2)]
+    assert [tuple(r) for r in token_counts.truncated_totals(h.where("false"), [6]).collect()] == [(6, 0, 0)]
+    assert token_counts.truncated_totals(h, []).count() == 0
+
+
+def test_token_counts_of_awkward_texts(spark):
+    blanks = " " * 1_000_000
+    texts = [None, "", blanks, blanks + "word", "a" + blanks + "\nb\t" + blanks, "no " * 200_000, "\n" * 150_000 + "x", "\x1c" * 120_000 + " y"]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
+    rows = {r.doc_id: r.n_tokens for r in token_counts.with_lengths(df, RANKS, public_tokenizers.PATTERN).collect()}
+    assert [rows[k] for k in (0, 1, 2, 3, 4)] == [0, 0, 10**6, 10**6, 2 * 10**6 + 4]
+    assert [rows[k] for k in (5, 6, 7)] == lengths(texts[5:])
+    short = [t.replace(blanks, " " * 150_000) for t in texts[2:5]]  # the library can still say these
+    df = spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")
+    assert [r.n_tokens for r in sorted(token_counts.with_lengths(df, RANKS, public_tokenizers.PATTERN).collect())] == lengths(short)
+    assert token_counts.with_lengths(df.where("false"), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def test_media_query(spark):
     d = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
