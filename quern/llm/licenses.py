@@ -1,10 +1,12 @@
 """License scans by canonical digest.
 
 A text's canonical form drops copyright lines, capitals, punctuation and white
-space, and writes equivalent spellings alike. Its SHA-256 digest is joined to
-those of known license texts: a whole text is looked up, never a part of it.
-The lines of a text are looked up the same way, for the short notices that
-documents carry.
+space, and writes equivalent spellings alike; spellings of two words are sought
+after white space is one blank, so that where lines break doesn't matter. Its
+SHA-256 digest is joined to those of known license texts: a whole text is looked
+up, never a part of it. The lines of a text are looked up the same way, for the
+short notices that documents carry; that happens in the row, against the fixed
+list, as a join would move or repeat the texts.
 """
 
 from __future__ import annotations
@@ -12,16 +14,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Spellings that count as one, in lower case, in this order.
+# Spellings that count as one, in the canonical form, in this order.
 SPELLINGS = (
-    ("sublicence", "sublicense"), ("licence", "license"), ("organisation", "organization"), ("authorisation", "authorization"), ("acknowledgement", "acknowledgment"),
-    ("copyright owner", "copyright holder"), ("non-infringement", "noninfringement"), ("sub-license", "sublicense"), ("per cent", "percent"), ("merchantibility", "merchantability"),
-    ("favour", "favor"), ("honour", "honor"), ("https://", "http://"),
+    ("licence", "license"), ("sub license", "sublicense"), ("organisation", "organization"), ("authorisation", "authorization"), ("acknowledgement", "acknowledgment"),
+    ("copyright owner", "copyright holder"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("merchantibility", "merchantability"),
+    ("favour", "favor"), ("honour", "honor"), ("https", "http"),
 )
-#: Lines that name a copyright holder. Both engines read these expressions alike.
-COPYRIGHT_LINE = r"(?im)^[ \t>*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
-MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A9}\x{AB}\x{BB}\x{2010}-\x{201F}]+"
+#: Lines that name a copyright holder: the word or sign before a year, another sign or a blank to fill. Body lines that only break
+#: before the word copyright are none. Both engines read these expressions alike.
+COPYRIGHT_LINE = r"(?im)^[ \t\x{A0}>*#/;-]*(copyright[ \t\x{A0}:]*(\(c\)|©|[0-9<\[{])|(\(c\)|©)[ \t\x{A0}]*(copyright|[0-9<\[{])|all rights reserved)[^\n]*$"
+MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{A9}\x{AB}\x{AD}\x{BB}\x{2000}-\x{206F}\x{3000}\x{FEFF}]+"
 
+# Pieces of the texts below.
 AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
@@ -56,29 +60,29 @@ KNOWN = (
 # License id and digest of the canonical form of its whole text, as Debian has it in /usr/share/common-licenses (BSD: that of the University of California).
 # The text of a GNU license does not say whether later versions may be chosen: all have the ids of this version only.
 WHOLE = (
-    ("Apache-2.0", "0d5838e6f6e5a374e58d608af5c01bc6a67cf18552dd7b346e5aef652b808ee9"),
-    ("Artistic-1.0-Perl", "66e644aafc5ff1de25be918be7e71d1d851bab015f750bc67c5b245e5f33ff39"),
+    ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
     ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
-    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2-only", "19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f"),
-    ("GFDL-1.3-only", "e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2-only", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3-only", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
     ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
-    ("GPL-2.0-only", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
-    ("GPL-3.0-only", "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f"),
-    ("LGPL-2.0-only", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
-    ("LGPL-2.1-only", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0-only", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
     ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
-    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
 )
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null stays null."""
-    out = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, ""))
+    out = F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT_LINE, "")), MARKS, " "))
     for one, other in SPELLINGS:
         out = F.replace(out, F.lit(one), F.lit(other))
-    return F.trim(F.regexp_replace(out, MARKS, " "))
+    return out
 
 
 def digest(text: Column) -> Column:
@@ -110,21 +114,21 @@ def scan(documents: DataFrame, text: str = "text", known=KNOWN) -> DataFrame:
     return d.join(F.broadcast(table), "digest", "left").withColumn("notices", notices)
 
 
-def oracle(known=KNOWN) -> str:
+def oracle(known=KNOWN, whole=WHOLE) -> str:
     """The same in the other engine's SQL over ``documents``."""
     def form(x: str) -> str:
-        out = f"lower(regexp_replace({x}, '{COPYRIGHT_LINE}', '', 'g'))"
+        out = f"trim(regexp_replace(lower(regexp_replace({x}, '{COPYRIGHT_LINE}', '', 'g')), '{MARKS}', ' ', 'g'))"
         for one, other in SPELLINGS:
             out = f"replace({out}, '{one}', '{other}')"
-        return f"sha256(trim(regexp_replace({out}, '{MARKS}', ' ', 'g')))"
+        return f"sha256({out})"
 
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in known)
-    asked = "regexp_matches({}, '(?i)licen[cs]e|source code form')"
+    digests = ", ".join(f"('{i}', '{d}')" for i, d in whole)
     return f"""
-        WITH known AS (SELECT DISTINCT license, {form('text')} AS digest FROM (VALUES {values}) v(license, text)),
+        WITH known AS (SELECT license, {form('text')} AS digest FROM (VALUES {values}) v(license, text) UNION SELECT license, digest FROM (VALUES {digests}) w(license, digest)),
         d AS (SELECT doc_id, coalesce(text, '') AS t, {form("coalesce(text, '')")} AS digest FROM documents),
-        lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d WHERE {asked.format('t')}),
+        lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
         found AS (SELECT doc_id, list_sort(list_distinct(list(license))) AS notices
-                  FROM (SELECT doc_id, {form('line')} AS digest FROM lines WHERE {asked.format('line')}) l JOIN known USING (digest) GROUP BY doc_id)
+                  FROM (SELECT doc_id, {form('line')} AS digest FROM lines) l JOIN known USING (digest) GROUP BY doc_id)
         SELECT doc_id, digest, license, coalesce(array_to_string(notices, ','), '') AS notices
         FROM d LEFT JOIN known USING (digest) LEFT JOIN found USING (doc_id)"""
