@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import bucket_of, fresh, longs
+from quern.llm.common import bucket_of, fresh, let, longs
 
 GRAM, WINDOW = 16, 32
 PLACES = 1 << 31
@@ -28,11 +28,6 @@ SLICE = 1 << 15
 RANGE_ROWS, RANGE_BYTES, MOST_RANGES = 256, 1 << 20, 1 << 16
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once; an expression named twice may be computed twice."""
-    return F.transform(F.array(value), use)[0]
-
-
 def grams(data: Column, before: Column) -> Column:
     """Hash and position of each run of bytes; a short text is one run. before: bytes that come before ``data``."""
     def of(b: Column) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from operator import add
 from re import _constants as kind
 from re import _parser as parser
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import fresh, materialize
+from quern.llm.common import fresh, let, materialize
 
 
 @dataclass(frozen=True)
@@ -142,32 +143,53 @@ def candidates(index: DataFrame, identity: str, queries: list[Query]) -> DataFra
     return met.groupBy(identity).agg(F.bit_or("rule").alias("rules"))
 
 
+#: Values of a block of ``running``.
+BLOCK = 256
+
+
+def running(values: Column, op, first: int = 0) -> Column:
+    """Running totals of an array of int under ``op``, whose neutral value is ``first``.
+
+    An array can only grow by being copied, so totals run over blocks first and
+    then inside each block: n values cost little more than n steps.
+    """
+    grown = lambda xs, start: F.aggregate(xs, F.array(start), lambda done, x: F.concat(done, F.array(op(F.element_at(done, -1), x))))
+
+    def over(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        totals = lambda bs: grown(F.transform(bs, lambda b: F.aggregate(b, F.lit(first), op)), F.lit(first))
+        joined = lambda bs: F.flatten(F.zip_with(bs, F.slice(totals(bs), F.lit(1), F.size(bs)), lambda b, t: F.slice(grown(b, t), F.lit(2), F.size(b))))
+        return F.when(F.size(v) > 0, let(blocks, joined)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, over)
+
+
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
-    """Array of (start, number, end) of a rule's matches, in code points, end exclusive.
+    """Array of a rule's matches: start, number, end in code points, end exclusive, and the same in bytes.
 
     Splitting at the matches gives what lies between them; the lengths of both add up to positions.
     """
     between = F.split(text, rule.pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    steps = F.zip_with(F.zip_with(whole, between, lambda w, b: F.struct(F.char_length(b).alias("gap"), F.char_length(w).alias("size"))), part, lambda s, p: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), (F.char_length(p) >= rule.least).alias("kept")))
-    steps = F.filter(steps, lambda s: s["size"].isNotNull())
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
+    sized = lambda w, b: F.struct(
+        (F.char_length(b) + F.char_length(w)).alias("step"), (F.octet_length(b) + F.octet_length(w)).alias("byte_step"), F.char_length(w).alias("size"), F.octet_length(w).alias("bytes"))
 
-    def add(state, s):
-        start = state["at"] + s["gap"]
-        end = start + s["size"]
-        new = F.struct(start.alias("start"), F.lit(number).alias("rule"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(s["kept"], F.concat(state["found"], F.array(new))).otherwise(state["found"]).alias("found"))
+    def placed(steps: Column) -> Column:
+        ends = F.zip_with(running(F.transform(steps, lambda s: s["step"]), add), running(F.transform(steps, lambda s: s["byte_step"]), add), lambda a, b: F.struct(a.alias("end"), b.alias("byte")))
+        return F.zip_with(steps, ends, lambda s, e: F.struct(
+            (e["end"] - s["size"]).alias("start"), F.lit(number).alias("rule"), e["end"].alias("end"), (e["byte"] - s["bytes"]).alias("from_byte"), e["byte"].alias("to_byte")))
 
-    return F.aggregate(steps, empty, add, lambda s: s["found"])
+    spans = let(F.filter(F.zip_with(whole, between, sized), lambda s: s["size"].isNotNull()), placed)
+    kept = F.filter(F.zip_with(spans, part, lambda s, p: F.struct(s.alias("span"), (F.char_length(p) >= rule.least).alias("kept"))), lambda s: s["kept"])
+    return F.transform(kept, lambda s: s["span"]).cast(SPANS)
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("rule", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+SPANS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "rule", "end", "from_byte", "to_byte")]))
 
 
 def scan(documents: DataFrame, identity: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``documents`` with ``spans``: array of (start, rule number, end) by start, then rule.
+    """``documents`` with ``spans``: array of (start, rule number, end, from_byte, to_byte) by start, then rule.
 
     Null and empty texts have no spans; rows that repeat have the same ones; no
     rows give no rows; a column named ``spans`` is replaced.
@@ -205,15 +227,17 @@ def counted(spans: Column, number: int) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each run of overlapping spans replaced by ``mark``; null stays null."""
-    def add(state, s):
-        ahead = s["start"] >= state["at"]
-        gap = F.when(ahead, F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    changed = F.aggregate(spans, start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, changed).otherwise(text)
+    """``text`` with each run of overlapping spans replaced by ``mark``; null stays null.
+
+    The bytes between runs are cut out once each and joined by the mark.
+    """
+    def changed(s: Column) -> Column:
+        data, found = s["data"], s["spans"]
+        reached = F.concat(F.array(F.lit(0)), running(F.transform(found, lambda x: x["to_byte"]), lambda a, b: F.greatest(a, b)))
+        gaps = F.zip_with(reached, F.concat(F.transform(found, lambda x: x["from_byte"]), F.array(F.octet_length(data))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.array_join(F.transform(F.filter(gaps, lambda g: g["b"] >= g["a"]), lambda g: F.decode(F.substring(data, g["a"] + 1, g["b"] - g["a"]), "UTF-8")), mark)
+
+    return F.when(F.size(spans) > 0, let(F.struct(F.encode(text, "UTF-8").alias("data"), spans.alias("spans")), changed)).otherwise(text)
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:

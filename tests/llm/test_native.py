@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -216,6 +217,27 @@ def test_redaction(spark):
     assert got == {1: "é [SECRET], [SECRET]!", 2: None, 3: "clean"}
 
 
+def test_many_spans_and_long_texts(spark):
+    import time
+    key = "0123456789abcdef" * 2
+    texts = [f"é {key} " * 20_000, "w" * 20_000_000 + f" token={key}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"_row": F.lit(1), "_rules": F.lit(2)})
+    found = secret_scan.scan(df)
+    assert found.columns == [*df.columns, "spans"]
+    began = time.time()
+    rows = {r.doc_id: r for r in found.select("doc_id", F.size("spans").alias("n"), secret_scan.redacted(F.col("text"), F.col("spans")).alias("clean"), F.element_at("spans", -1).alias("last")).collect()}
+    assert time.time() - began < 60
+    assert rows[0].n == 20_000 and rows[0].clean == "é [SECRET] " * 20_000
+    assert (rows[0].last.start, rows[0].last.end) == (len(texts[0]) - 33, len(texts[0]) - 1)
+    assert rows[1].n == 2 and rows[1].clean == "w" * 20_000_000 + " [SECRET]"
+
+
+def test_redaction_of_overlaps_and_neighbours(spark):
+    spans = [(0, 0, 4, 0, 5), (2, 1, 3, 3, 4), (4, 1, 6, 5, 7), (9, 0, 12, 10, 13)]
+    df = spark.createDataFrame([("é123456789xyz", spans)], f"text string, spans {secret_scan.SPANS.simpleString()}")
+    assert df.select(secret_scan.redacted(F.col("text"), F.col("spans")).alias("x")).first().x == "[SECRET][SECRET]678[SECRET]z"
+
+
 # Licenses
 
 
@@ -229,6 +251,25 @@ def test_license_forms_meet(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_known_texts_of_any_line_width(spark):
+    docs = []
+    for i, t in licenses.KNOWN:
+        for width in range(50, 101):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in t.split("\n\n"))
+            docs += [(i, "text", wrapped), (i, "text", wrapped.replace("\n", "\r\n").replace(" ", "\u00a0 ")), (i, "line", "about it\n" + " ".join(t.split("\n\n")[-1].split()) + "\n")]
+    docs += [("MIT", "text", licenses.MIT_BODY.replace("COPYRIGHT HOLDERS", "COPYRIGHT\nOWNERS").replace("sublicense", "sub-\nlicence"))]
+    rows = licenses.scan(spark.createDataFrame(docs, "i string, kind string, text string").repartition(8)).collect()
+    assert all(r.license == r.i for r in rows if r.kind == "text")
+    assert all(list(r.notices) == [r.i] for r in rows if r.kind == "line")
+
+
+def test_license_of_a_long_text(spark):
+    long = "word " * 4_000_000 + "\nReleased under the MIT License.\n"
+    df = spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string").withColumns({"license": F.lit("x"), "notices": F.lit("y")})
+    rows = {r.doc_id: r for r in licenses.scan(df).select("doc_id", "license", "notices").collect()}
+    assert rows[1].license is None and list(rows[1].notices) == ["MIT"] and list(rows[2].notices) == []
+
+
 def test_every_known_line_is_a_notice(spark):
     lines = [(i, t) for i, t in licenses.KNOWN if "\n" not in t]
     docs = [(k, f"some text\n  {t.upper()}\nand more") for k, (_, t) in enumerate(lines)]
