@@ -18,6 +18,7 @@ import re
 import struct
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from itertools import accumulate, chain
 
@@ -34,6 +35,8 @@ shipped(__name__)
 
 #: Words of the lexicon, pieces of text that a task remembers, and words that it counts before it passes them on.
 LEXICON_WORDS, REMEMBERED, COUNTED = 65_536, 150_000, 400_000
+#: Characters of a piece and bytes of a word above which they are neither remembered nor put into the lexicon; characters of text that a task counts before it passes words on.
+LONGEST, HELD = 128, 32 << 20
 #: Bytes of a word up to which it is merged in a table with others, and words of a table.
 SHORT, SIDE_BY_SIDE = 48, 4096
 UNRANKED, WIDE = 1 << 60, 1 << 20
@@ -138,26 +141,32 @@ class Tokenizer:
         return np.where((self.pairs[k] == pair) & (a >= 0) & (b >= 0), self.pair_ranks[k], UNRANKED)
 
     def merge_long(self, word: bytes) -> list[int]:
-        """The same for one word with a heap of pairs; a pair whose parts have changed since is passed over."""
-        ids: list = self.inner[np.frombuffer(word, np.uint8)].tolist()
-        ids[-1] = int(self.last[word[-1]])
-        after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        get, made = self.rank.get, self.made
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := get(ids[i] * WIDE + ids[i + 1])) is not None]
-        heapq.heapify(heap)
+        """The same for one word with a heap of pairs, each one number (rank, place); a pair that has changed since is passed over."""
+        symbols = self.inner[np.frombuffer(word, np.uint8)]
+        symbols[-1] = self.last[word[-1]]
+        n = len(symbols)
+        rank = self.ranks(symbols[:-1], symbols[1:])
+        at = np.nonzero(rank != UNRANKED)[0]
+        heap = np.sort(rank[at] << 32 | at).tolist()  # sorted numbers are a heap
+        ids, after, before = array("i", symbols.tolist()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        after[-1] = -1
+        get, made = self.rank.get, self.made.tolist()
         while heap:
-            rank, i, a, b = heapq.heappop(heap)
+            lowest = heapq.heappop(heap)
+            i = lowest & 0xFFFFFFFF
             j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            if ids[i] < 0 or j < 0 or get(ids[i] * WIDE + ids[j]) != lowest >> 32:
                 continue
-            ids[i], ids[j] = int(made[rank]), None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] >= 0 and (r := get(ids[x] * WIDE + ids[after[x]])) is not None:
-                    heapq.heappush(heap, (r, x, ids[x], ids[after[x]]))
-        return [x for x in ids if x is not None]
+            ids[i], ids[j] = made[lowest >> 32], -1
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                if (r := get(ids[i] * WIDE + ids[k])) is not None:
+                    heapq.heappush(heap, r << 32 | i)
+            h = before[i]
+            if h >= 0 and (r := get(ids[h] * WIDE + ids[i])) is not None:
+                heapq.heappush(heap, r << 32 | h)
+        return [x for x in ids if x >= 0]
 
     def decode(self, ids) -> str:
         """Tokens joined by one space, as a tokenizer file without a decoder has it."""
@@ -250,7 +259,7 @@ class Lexicon:
 
 
 def count_words(documents: DataFrame, file, text: str = "text") -> DataFrame:
-    """word (binary), n: how often each word occurs in all texts; each task sums what it has seen first."""
+    """word (binary), n: how often each word of up to ``LONGEST`` bytes occurs in all texts; each task sums what it has seen first."""
 
     def run(batches):
         tokenizer = Tokenizer(file.value)
@@ -260,17 +269,21 @@ def count_words(documents: DataFrame, file, text: str = "text") -> DataFrame:
             for chunk, n in seen.items():
                 if chunk not in tokenizer.special:
                     for w in tokenizer.words(chunk):
-                        words[w] += n
+                        if len(w) <= LONGEST:
+                            words[w] += n
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         seen: Counter = Counter()
+        held = 0
         for batch in batches:
             for value in batch.column(0):
                 if (t := value.as_py()):
                     seen.update(tokenizer.chunks(t))
-                    if len(seen) > COUNTED:
+                    held += len(t)
+                    if len(seen) > COUNTED or held > HELD:
                         yield summed(seen)
                         seen.clear()
+                        held = 0
         if seen:
             yield summed(seen)
 
@@ -303,6 +316,7 @@ def encoder(file, block):
     young: dict[str, tuple[list[int], str]] = {}
     old: dict[str, tuple[list[int], str]] = {}
     known: dict[bytes, list[int]] = {}
+    large: list[bytes] = []  # in ``known`` for one batch only
 
     def learn(chunks: set[str]) -> None:
         """Ids and decoded form of chunks that the younger generation lacks: from the lexicon, or else merged."""
@@ -321,6 +335,7 @@ def encoder(file, block):
             else:
                 known[w] = found
         known.update(zip(unseen, tokenizer.merge(unseen), strict=True))
+        large.extend(w for w in unseen if len(w) > LONGEST)
         for c, ws in split.items():
             ids = known[ws[0]] if len(ws) == 1 else list(chain.from_iterable([known[w] for w in ws]))
             young[c] = ids, tokenizer.decode(ids)
@@ -332,7 +347,8 @@ def encoder(file, block):
         if len(known) > 2 * REMEMBERED:
             known.clear()
         chunks = [tokenizer.chunks(t) for t in texts]
-        learn(set(chain.from_iterable(chunks)) - young.keys())
+        new = set(chain.from_iterable(chunks)) - young.keys()
+        learn(new)
         offsets, parts, decoded = [0], [], []
         for cs in chunks:
             found = [young[c] for c in cs]
@@ -340,6 +356,12 @@ def encoder(file, block):
             parts.append(np.array(ids, dtype=np.int32))
             offsets.append(offsets[-1] + len(ids))
             decoded.append(" ".join([x[1] for x in found]))
+        for c in new:
+            if len(c) > LONGEST:
+                del young[c]
+        for w in large:
+            known.pop(w, None)
+        large.clear()
         return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts))), pa.array(decoded, pa.string())]
 
     return compute

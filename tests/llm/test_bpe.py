@@ -53,6 +53,23 @@ def test_any_text_matches_the_library(library, ours, text):
     same(library, ours, text)
 
 
+def test_long_words_are_merged_exactly_and_not_remembered(library, ours):
+    rng = random.Random(8)
+    for n in (130, 4000, 300_000):
+        text = "the " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) + " end"
+        same(library, ours, text)
+    held = dict(zip(ours.__closure__[0].cell_contents.__code__.co_freevars, ours.__closure__[0].cell_contents.__closure__, strict=True))
+    assert max(map(len, held["young"].cell_contents)) <= bpe.LONGEST and max(map(len, held["known"].cell_contents)) <= bpe.LONGEST
+
+
+def test_counting_passes_words_on_after_so_many_characters(spark, monkeypatch):
+    df = spark.createDataFrame([("the end " * 50 + "x" * 500,)] * 40, "text string")
+    with open(PATH, "rb") as f:
+        file = spark.sparkContext.broadcast(f.read())
+    monkeypatch.setattr(bpe, "HELD", 1000)
+    assert {bytes(r.word): r.n for r in bpe.count_words(df, file).collect()} == {b"the": 2000, b"end": 2000}
+
+
 def test_lexicon_is_minimal_and_exact():
     random.seed(3)
     words = {bytes(random.choices(b"abc", k=random.randint(1, 7))) for _ in range(400)}
