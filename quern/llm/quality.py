@@ -89,8 +89,12 @@ class Model:
         self.weights, self.thresholds = weights, thresholds
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
-        """P(grade >= k) for each score (rows) and k = 1, 2, ... (columns)."""
-        return logistic(scores[:, None] - self.thresholds[None, :])
+        return tail_chances(scores, self.thresholds)
+
+
+def tail_chances(scores: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """P(grade >= k) for each score (rows) and k = 1, 2, ... (columns)."""
+    return logistic(scores[:, None] - thresholds[None, :])
 
 
 def logistic(x):
@@ -155,13 +159,15 @@ def train(documents: DataFrame, grades: DataFrame, n_grades: int, identity: str
 
     grades: the identity column and ``grade`` (int, 0 to n_grades - 1); rows with
     nulls or grades outside are left out, and of several grades of a document
-    the lowest counts. What reaches the driver is at most ``rows`` sets of buckets.
+    the lowest counts; so does the text of the least hash where an identity has
+    several. What reaches the driver is at most ``rows`` sets of buckets.
     """
     g = grades.where(F.col(identity).isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy(identity).agg(F.min("grade").cast("int").alias("_grade"))
     chosen = g.orderBy(F.xxhash64(identity), identity).limit(rows)
-    labelled = documents.select(identity, F.col(text).alias("_text")).join(F.broadcast(chosen), identity).select("_grade", "_text")
-    # Documents may repeat: the limit holds for rows, too.
-    table = extend(labelled, "_text", {"_buckets": T.ArrayType(T.IntegerType(), False)}, sparse).select("_grade", "_buckets").limit(4 * rows).toArrow().combine_chunks()
+    labelled = documents.select(identity, F.col(text).alias("_text")).join(F.broadcast(chosen), identity)
+    # Of several texts of one identity the first by hash counts, so that there are no more texts than identities.
+    labelled = labelled.groupBy(identity, "_grade").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text")).select("_grade", "_text")
+    table = extend(labelled, "_text", {"_buckets": T.ArrayType(T.IntegerType(), False)}, sparse).select("_grade", "_buckets").toArrow().combine_chunks()
     if not table.num_rows:
         return fit(np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64), n_grades)
     lists = table.column("_buckets").chunk(0)
@@ -170,11 +176,11 @@ def train(documents: DataFrame, grades: DataFrame, n_grades: int, identity: str
 
 
 def scorer(model):
-    features, m = featurizer(), model.value
+    features, (weights, thresholds) = featurizer(), model.value
 
     def compute(texts: list[str]) -> list:
-        scores = np.array([m.weights[features(t)].sum(dtype=np.float64) for t in texts])
-        tails = m.tails(scores)
+        scores = np.array([weights[features(t)].sum(dtype=np.float64) for t in texts])
+        tails = tail_chances(scores, thresholds)
         return [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1].copy())]
 
     return compute
@@ -186,7 +192,7 @@ def grade(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null text is graded like an empty one. Columns of these names are
     replaced; no rows give no rows; repeated rows are graded alike.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the input
+    shared = documents.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # plain arrays of BUCKETS weights, whatever the input
     return extend(documents, text, {"expected_grade": T.DoubleType(), "tail_probability": T.DoubleType()}, scorer, shared)
 
 

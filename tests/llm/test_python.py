@@ -103,6 +103,37 @@ def test_fingerprints_find_a_tone_and_do_not_depend_on_the_batch():
         assert times[k].as_py() == t1[0].as_py() and codes[k].as_py() == c1[0].as_py()
 
 
+def plain_feature(payload):
+    """Times and codes by the module's rules, with a transform written out as sums."""
+    frames = [payload[i : i + 576] for i in range(0, len(payload) - 575, 288)]
+    k, t = np.arange(289)[:, None], np.arange(576)[None, :]
+    turn = np.exp(-2j * np.pi * k * t / 576)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(576) / 575)
+    spectra = [np.abs(turn @ ((np.frombuffer(f, np.uint8).astype(float) - 128) * window)) * 16 for f in frames]
+    peaks = []
+    for n, s in enumerate(spectra):
+        for lo, hi in ((2, 18), (18, 48), (48, 110), (110, 289)):
+            best = lo + int(np.argmax(np.floor(s[lo:hi])))
+            size = lambda m: int(max(np.floor(spectra[m][lo:hi]))) if 0 <= m < len(spectra) else -1  # noqa: B023, E731
+            if size(n) > size(n - 1) and size(n) >= size(n + 1) and size(n) > 0:
+                peaks.append((n, best))
+    out = [(t0, f0 << 20 | f1 << 8 | t1 - t0) for i, (t0, f0) in enumerate(peaks) for t1, f1 in peaks[i + 1 : i + 4] if t1 - t0 <= 15]
+    return sorted(out, key=lambda x: (x[0], x[1]))
+
+
+def test_feature_matches_plain_transforms(spark):
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows, same, pairs = q.op6_media(spark, d).collect(), 0, 0
+    for r in rows:
+        data = docs[r.doc_id].encode()
+        expected = {f"{c:x}@{t}" for t, c in plain_feature(data + b"\xff" * (-len(data) % 576))}
+        got = set(r.feature.split(",")) - {""}
+        assert r.n_pairs == len(r.feature.split(",")) - (r.feature == "")
+        same, pairs = same + len(got & expected), pairs + len(got | expected)
+    assert same >= 0.995 * pairs > 1000  # rounding of single precision may move a peak between equals
+
+
 def graded(n, seed):
     rng = random.Random(seed)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(4000)]
@@ -128,6 +159,89 @@ def test_classifier_is_accurate_on_texts_it_has_not_seen(spark):
     assert all(0 <= r.tail_probability <= 1 and r.tail_probability <= r.expected_grade <= 2 for r in rows)
 
 
+def plain_features(text):
+    """Buckets of a text as the module's docstring has them, token by token."""
+    import string
+    tokens, found, loud, odd = (text or "").split(), set(), 0, 0
+    crc = lambda kind, value: zlib.crc32(f"{kind}:{value}".encode()) % quality.BUCKETS
+    for t in tokens:
+        i, j = 0, len(t)
+        while i < j and not t[i].isalnum():
+            i += 1
+        while j > i and not t[j - 1].isalnum():
+            j -= 1
+        inside = {c for c in t if not c.isalnum()}
+        word = t.strip("".join(inside))
+        marks = t.replace(word, " ", 1) if word else t
+        found.add(crc("word", word.lower()))
+        if marks.strip(" .,;:?'\"()-"):
+            odd += 1
+            found.add(crc("marks", marks))
+        loud += len(word) > 1 and word.isupper()
+    again = sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
+    for name, x in (("loud", loud), ("odd", odd), ("again", again)):
+        found.add(crc("share", f"{name} {1 + int(9 * x / len(tokens)) if x else 0}"))
+    return found
+
+
+def test_query_scores_match_plain_sums(spark):
+    d = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    model = quality.train(spark.read.parquet(f"{d}/documents.parquet"), quality.rated(spark.read.parquet(f"{d}/labels.parquet")), quality.GRADES)
+    rows = q.op10_quality(spark, d).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        score = sum(float(model.weights[b]) for b in plain_features(docs[r.doc_id]))
+        tails = [1 / (1 + np.exp(-(score - t))) for t in model.thresholds]
+        assert r.tail_probability == pytest.approx(tails[-1], abs=1e-9) and r.expected_grade == pytest.approx(sum(tails), abs=1e-9)
+        assert r.keep == (r.tail_probability >= quality.KEEP)
+
+
+def test_model_is_at_the_least_loss():
+    """The loss by plain sums does not fall when a weight or threshold is moved either way."""
+    rng = random.Random(4)
+    grades = np.array([rng.randrange(3) for _ in range(240)])
+    rows = [sorted({g if rng.random() < 0.8 else rng.randrange(3), 3 + rng.randrange(4)}) for g in grades]
+    offsets = np.r_[0, np.cumsum([len(r) for r in rows])]
+    once, quality.SCREEN_ERRORS = quality.SCREEN_ERRORS, 0.0
+    distinct = quality.screened
+    quality.screened = lambda values, *_: np.isin(np.arange(quality.BUCKETS), values)
+    try:
+        m = quality.fit(np.concatenate(rows).astype(np.int32), offsets, grades, 3)
+    finally:
+        quality.SCREEN_ERRORS, quality.screened = once, distinct
+
+    def loss(w, t):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            s = sum(w[b] for b in r)
+            tail = [1.0, *[1 / (1 + np.exp(-(s - x))) for x in t], 0.0]
+            total -= np.log(tail[g] - tail[g + 1])
+        return total / len(rows) + quality.RIDGE / 2 * sum(x * x for x in w)
+
+    w, t = m.weights[:7].astype(float), m.thresholds.copy()
+    least = loss(w, t)
+    for k in range(7):
+        for h in (-0.05, 0.05):
+            moved = w.copy()
+            moved[k] += h
+            assert loss(moved, t) >= least - 1e-6
+    for k in range(2):
+        for h in (-0.05, 0.05):
+            moved = t.copy()
+            moved[k] += h
+            assert loss(w, moved) >= least - 1e-6
+
+
+def test_repeated_and_long_labelled_texts_and_clashing_names(spark):
+    rows = [(k % 50, ("good words " if k % 2 else "BAD!! ") * 5, "x", "y", "z") for k in range(400)] + [(60, "long " * 400_000, "x", "y", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep string, expected_grade string, tail_probability string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(61)], "doc_id long, quality int, toxic int")
+    out = quality.judged(df, labels)
+    assert sorted(out.columns) == sorted(df.columns) and out.count() == 401
+    assert dict(out.dtypes)["keep"] == "boolean" and dict(out.dtypes)["expected_grade"] == "double"
+
+
 def test_weights_follow_the_grades_and_rare_buckets_have_none():
     grades = np.array([0, 2] * 40)
     values = np.ravel(np.column_stack([np.where(grades == 0, 7, 9), 100 + np.arange(80)]))
