@@ -87,12 +87,25 @@ def release(*tables: DataFrame) -> None:
 
 @contextmanager
 def scope():
-    """Tables that are written inside are deleted at the end: what is lazy and reads them must be written before."""
-    _scopes.append([])
+    """Tables written inside are deleted at the end, but for those handed to the function this gives.
+
+    What is lazy and reads the others must be written before.
+    """
+    own: list[DataFrame] = []
+    _scopes.append(own)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    kept: list[DataFrame] = []
     try:
-        yield
+        yield keep
     finally:
-        release(*_scopes.pop())
+        _scopes.pop()
+        release(*[t for t in own if not any(t is k for k in kept)])
+        if _scopes:
+            _scopes[-1].extend(kept)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,11 +1,13 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 Fingerprints are made by majority over the hashes of word shingles. Only
-different fingerprints are compared, and only those that agree on one of a few
-bands of bits. With one more band than bits may differ, no pair within the
-radius is missed (the narrow form); wide fingerprints have bands enough to miss
-few of the pairs that are alike enough, and their candidates are compared by
-the shingle sets themselves.
+different fingerprints are compared, and only those that meet in a bucket. In
+the narrow form buckets are bands of bits, one more than bits may differ, so that
+no pair within the radius is missed. In the wide form, for texts that are alike
+by their shingle sets, buckets are made of the sets' least hashes: strangers
+hardly ever meet there, however many texts there are, so that widths, bands and
+radius are the same at every size. What lies within the radius is then compared
+by the shingle sets themselves.
 
 Members of a bucket are stored by bit plane, 64 to a machine word. A query's bit
 turns a plane into differences, which carry-save counters of three operations a
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import extend, fresh, materialize, pieces, shipped
+from quern.llm.common import extend, fresh, materialize, pieces, release, scope, shipped
 
 shipped(__name__)
 
@@ -37,9 +39,12 @@ SEED = 42
 HOT = 16_384
 #: Word pairs that are compared at a time; members from which a bucket is searched by itself; bits between two looks for words to abandon.
 AT_ONCE, LARGE, LOOK = 1 << 19, 256, 8
-ROUNDS = 60
-#: Texts of a group of candidates that a task compares as one block.
+#: Sets of a group of candidates that a task compares as one block.
 TEXTS = 256
+#: Words of 64 bits of a wide fingerprint, bands of a set's least hashes, and hashes of a band.
+LANES, BANDS, LEAST = 5, 10, 4
+#: What makes orders of a hash: a number to mix in, and an odd one to multiply by.
+ORDERS = np.array([[xxhash.xxh64_intdigest(b"order", 2 * k), xxhash.xxh64_intdigest(b"order", 2 * k + 1) | 1] for k in range(BANDS * LEAST)], np.uint64).T
 
 
 def plain_words(text: str) -> list[bytes]:
@@ -74,12 +79,7 @@ def majority(hashes: np.ndarray, lanes: int) -> bytes:
     """Bits set in over half of the hashes, most significant first; further lanes mix the hash anew."""
     out = []
     for lane in range(lanes):
-        h = hashes
-        if lane:
-            with np.errstate(over="ignore"):
-                h = (hashes ^ np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                h ^= h >> np.uint64(32)
+        h = mixed(hashes, lane)
         count = np.zeros(64, np.int64)
         for i in range(0, len(h), 1 << 14):
             bits = np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -102,12 +102,35 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(bare_words(text), width))
 
 
-def set_hasher(width: int, lanes: int):
-    """The wide SimHash of each text's shingle set, and a digest by which equal sets are known."""
+def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes hashed anew, differently for each lane; lane 0 leaves them."""
+    if not lane:
+        return hashes
+    with np.errstate(over="ignore"):
+        h = (hashes ^ np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band: what the set's least hashes are under ``LEAST`` orders. Sets of likeness j agree on a band with chance j ** LEAST."""
+    if not len(hashes):
+        return [0]
+    least = np.full(BANDS * LEAST, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(hashes), 1 << 12):
+            least = np.minimum(least, ((hashes[i : i + (1 << 12), None] ^ ORDERS[0]) * ORDERS[1]).min(axis=0))
+    return [xxhash.xxh64_intdigest(least[b * LEAST : (b + 1) * LEAST].tobytes(), b) - 2**63 for b in range(BANDS)]
+
+
+def set_hasher(width: int):
+    """The wide SimHash of each text's shingle set, a digest by which equal sets are known, and the set's band keys."""
 
     def compute(texts):
         sets = [shingle_set(t, width) for t in texts]
-        return [pa.array([majority(h, lanes) for h in sets], pa.binary()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())]
+        return [
+            pa.array([majority(h, LANES) for h in sets], pa.binary()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
+            pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))]
 
     return compute
 
@@ -119,12 +142,10 @@ def bits_of(fps: list[bytes]) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
 
 
-def banded(df: DataFrame, parts: int, taken: int, level: int) -> DataFrame:
+def banded(df: DataFrame, parts: int, level: int) -> DataFrame:
     """key, path, fp: each fingerprint once for each of ``parts`` bands of the bits that its path has not used yet.
 
-    taken: bits of a band, 0 for all remaining bits divided evenly; further
-    levels always divide them so. path: the bands chosen so far, as digits. key:
-    what the chosen bands hold.
+    path: the bands chosen so far, as digits. key: what the chosen bands hold.
     """
 
     def run(batches):
@@ -139,8 +160,8 @@ def banded(df: DataFrame, parts: int, taken: int, level: int) -> DataFrame:
                 rows = np.nonzero(paths == path)[0]
                 left = np.arange(bits.shape[1])
                 for at in range(level - 1, -1, -1):
-                    left = np.setdiff1d(left, cut(left, parts, taken if at == level - 1 else 0)[int(path) // parts**at % parts])
-                for b, band in enumerate(cut(left, parts, 0 if level else taken)):
+                    left = np.setdiff1d(left, np.array_split(left, parts)[int(path) // parts**at % parts])
+                for b, band in enumerate(np.array_split(left, parts)):
                     if not len(band):
                         continue
                     new = int(path) * parts + b
@@ -155,10 +176,6 @@ def banded(df: DataFrame, parts: int, taken: int, level: int) -> DataFrame:
     return df.mapInArrow(run, "key long, path long, fp binary")
 
 
-def cut(left: np.ndarray, parts: int, taken: int) -> list[np.ndarray]:
-    return [left[i * taken : (i + 1) * taken] for i in range(parts)] if taken else np.array_split(left, parts)
-
-
 # Bit-sliced comparison
 
 
@@ -351,25 +368,19 @@ def linker(radius: int):
     return run
 
 
-def linked(fps: DataFrame, radius: int, parts: int, taken: int = 0, levels: int = 4) -> DataFrame:
+def link_buckets(rows: DataFrame, radius: int) -> DataFrame:
+    """u, v: edges between the fingerprints of each bucket (key, fp) that lie within the radius."""
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(linker(radius), "u binary, v binary")
+
+
+def linked(fps: DataFrame, radius: int, parts: int, levels: int = 4) -> DataFrame:
     """u, v: edges between fingerprints (column fp, each once) that lie within the radius, enough to connect all that do.
 
-    Narrow form (``parts`` of ``radius + 1``, ``taken`` 0): buckets of over
-    ``HOT`` members are divided by another band of the bits that are left, up to
-    ``levels`` times. That loses nothing: the pairs of such a bucket agree on one
-    of the new bands, too. Wide form (``taken`` bits a band): such buckets are
-    compared whole, in blocks, so that a pair needs no further band in common.
+    ``parts`` is ``radius + 1``. Buckets of over ``HOT`` members are divided by
+    another band of the bits that are left, up to ``levels`` times. That loses
+    nothing: the pairs of such a bucket agree on one of the new bands, too.
     """
-    link = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(linker(radius), "u binary, v binary")
-    rows = banded(fps.select("fp"), parts, taken, 0)
-    if taken:
-        hot = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
-        if hot.isEmpty():
-            return link(rows.select("key", "fp"))
-        whole = materialize(rows.join(hot, "key", "left_semi").select("key", F.col("fp").alias("node")))
-        cold = link(rows.join(hot, "key", "left_anti").select("key", "fp"))
-        return cold.unionByName(exhaustive(whole, lambda df: link(df.withColumnRenamed("node", "fp")), HOT))
-    found = []
+    rows, found = banded(fps.select("fp"), parts, 0), []
     for level in range(1, levels + 1):
         if level == levels:
             found.append(rows)
@@ -379,11 +390,24 @@ def linked(fps: DataFrame, radius: int, parts: int, taken: int = 0, levels: int
             found.append(rows)
             break
         found.append(rows.join(hot, "key", "left_anti"))
-        rows = materialize(banded(rows.join(hot, "key", "left_semi").select("key", "path", "fp"), parts, taken, level))
+        rows = materialize(banded(rows.join(hot, "key", "left_semi").select("key", "path", "fp"), parts, level))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return link(every.select("key", "fp"))
+    return link_buckets(every.select("key", "fp"), radius)
+
+
+def linked_in_buckets(rows: DataFrame, radius: int) -> DataFrame:
+    """u, v: edges between fingerprints of a bucket (columns key, fp) that lie within the radius, enough to connect all that do.
+
+    Buckets of over ``HOT`` members are compared whole, in blocks.
+    """
+    hot = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
+    if hot.isEmpty():
+        return link_buckets(rows, radius)
+    whole = materialize(rows.join(hot, "key", "left_semi").select("key", F.col("fp").alias("node")))
+    cold = link_buckets(rows.join(hot, "key", "left_anti"), radius)
+    return cold.unionByName(exhaustive(whole, lambda df: link_buckets(df.withColumnRenamed("node", "fp"), radius), HOT))
 
 
 # Whole comparison of large groups
@@ -444,8 +468,8 @@ def set_links(nodes: list[bytes], sets: list[np.ndarray], likeness: float) -> li
     return made
 
 
-def set_linker(width: int, likeness: float):
-    """From rows (key, node, text) in the order of keys to edges (u, v) between nodes whose shingle sets are alike enough."""
+def set_linker(likeness: float):
+    """From rows (key, node, hashes) in the order of keys to edges (u, v) between nodes whose shingle sets are alike enough."""
 
     def edges(bucket: dict[bytes, np.ndarray]):
         made = set_links(list(bucket), list(bucket.values()), likeness) if len(bucket) > 1 else []
@@ -455,45 +479,62 @@ def set_linker(width: int, likeness: float):
         key, bucket = None, {}
         for batch in batches:
             for small in pieces(batch):
-                for k, node, text in zip(*(small.column(c).to_pylist() for c in ("key", "node", "text")), strict=True):
+                for k, node, packed in zip(*(small.column(c).to_pylist() for c in ("key", "node", "hashes")), strict=True):
                     if k != key:
                         yield edges(bucket)
                         key, bucket = k, {}
-                    if node not in bucket:
-                        bucket[node] = shingle_set(text or "", width)
+                    bucket[node] = np.frombuffer(packed, np.uint64)
         yield edges(bucket)
 
     return run
 
 
+def set_packer(width: int):
+    """From rows (node, text) to rows (node, hashes); a node that comes again at once is passed over."""
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            for small in pieces(batch):
+                rows = []
+                for node, text in zip(small.column("node").to_pylist(), small.column("text"), strict=True):
+                    if node != last:
+                        rows.append((node, shingle_set(text.as_py() or "", width).tobytes()))
+                    last = node
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["node", "hashes"])
+
+    return run
+
+
 # Components
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each component, for every node that has an edge (u, v).
 
-    Large stars and small stars in turn, until the edges stay as they are. A
-    node's neighbours are never gathered: their least is an aggregate, and the
-    join that spreads it is one the planner can split.
+    Large stars and small stars in turn, until the edges stay as they are, which
+    takes a number of rounds like the logarithm of the longest way. A node's
+    neighbours are never gathered: their least is an aggregate, and the join that
+    spreads it is one the planner can split.
     """
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    for _ in range(ROUNDS):
-        if now.isEmpty():
-            break
+    mark = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    before, after = None, mark(now)
+    while after[0] and after != before:
+        # Least neighbours are written: both sides of a join are then dealt anew, and the planner splits a hub's.
+        least = materialize(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = materialize(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        release(now, least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        new = materialize(small.where("u > v").distinct())
-        mark = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        same = mark(new) == mark(now)
-        now = new
-        if same:
-            break
+        now = materialize(small.where("u > v").distinct())
+        release(large, least)
+        before, after = after, mark(now)
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    found = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    release(now)
+    return found
 
 
 def with_least(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -505,10 +546,10 @@ def with_least(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(nodes.join(ties, nodes.node == ties._n, "left").select("node", F.coalesce("least", "first").alias("component_id")))
 
 
-def groups(marked: DataFrame, radius: int, parts: int, taken: int = 0, identity: str = "doc_id", fp: str = "fp") -> DataFrame:
-    """fp, component_id: the smallest identity that links reach from each fingerprint of ``marked``; null identities are never smallest."""
+def groups(marked: DataFrame, radius: int, parts: int, identity: str = "doc_id", fp: str = "fp") -> DataFrame:
+    """node, component_id: the smallest identity that links reach from each fingerprint of ``marked``; null identities are never smallest."""
     nodes = materialize(marked.groupBy(F.col(fp).alias("node")).agg(F.min(identity).alias("first")))
-    return with_least(nodes, components(linked(nodes.select(F.col("node").alias("fp")), radius, parts, taken))).withColumnRenamed("node", "fp")
+    return with_least(nodes, components(linked(nodes.select(F.col("node").alias("fp")), radius, parts)))
 
 
 def with_components(documents: DataFrame, identity: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -517,57 +558,54 @@ def with_components(documents: DataFrame, identity: str = "doc_id", text: str =
     Null and empty texts have the fingerprint zero and link like any other. Rows
     that repeat stay; no rows give no rows.
     """
-    marked = materialize(fingerprints(documents.select(F.col(identity), F.col(text)), text, width).select(identity, "fp"))
-    found = groups(marked, radius, radius + 1, identity=identity)
-    return marked.join(found, "fp").select(identity, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
-
+    with scope() as keep:
+        marked = keep(materialize(fingerprints(documents.select(F.col(identity), F.col(text)), text, width).select(identity, "fp")))
+        found = keep(groups(marked, radius, radius + 1, identity=identity))
+    return marked.join(found.withColumnRenamed("node", "fp"), "fp").select(identity, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
-def bands_for(likeness: float, documents: int, recall: float = 0.95) -> tuple[int, int, int]:
-    """Bits of a band, bands and lanes to find texts of this set likeness with the wanted chance.
 
-    Bands grow with the logarithm of the number of documents, so that a bucket
-    of strangers keeps its size.
-    """
-    agree = 1 - math.acos(2 * likeness / (1 + likeness)) / math.pi
-    taken = max(13, math.ceil(math.log2(max(documents, 2))) - 11)
-    bands = math.ceil(math.log(1 - recall) / math.log(1 - agree**taken))
-    return taken, bands, -(-taken * bands // 64)
+def wide_radius(likeness: float, margin: float) -> int:
+    """Bits of a wide fingerprint in which sets of this Jaccard likeness differ on average, and ``margin`` (a part of all bits) for chance."""
+    return int(64 * LANES * (math.acos(2 * likeness / (1 + likeness)) / math.pi + margin))
 
 
-def deduplicated(documents: DataFrame, identity: str = "doc_id", text: str = "text", width: int = 5, likeness: float = 0.8, margin: float = 0.05) -> DataFrame:
+def deduplicated(documents: DataFrame, identity: str = "doc_id", text: str = "text", width: int = 5, likeness: float = 0.8, margin: float = 0.06) -> DataFrame:
     """``documents`` without near copies: of each group one text, of the smallest identity, stays (rows that repeat it wholly stay, too).
 
     Texts are near copies if the sets of their ``width``-word shingles have at
-    least this Jaccard likeness. Candidates are texts whose wide fingerprints
-    differ in no more bits than those of such texts do on average, with
-    ``margin`` for chance; candidates that hang together are then compared by
-    the sets themselves. Exact copies always meet. Rows without identity stay
-    only if their group has no other, one for each set; empty texts and
-    those of full stops alone are one group, texts of other marks alone meet by
-    what stands between white space. Columns are those of ``documents``.
+    least this Jaccard likeness. Candidates are texts that meet in a bucket of
+    their sets' least hashes and whose wide fingerprints differ in no more bits
+    than those of such texts do on average, with ``margin`` for chance;
+    candidates that hang together are then compared by the sets themselves.
+    None of this depends on how many documents there are. Exact copies always
+    meet. Rows without identity stay only if their group has no other, one for
+    each set; empty texts and those of full stops alone are one group, texts of
+    other marks alone meet by what stands between white space. Columns are those
+    of ``documents``, whatever their names; no rows give no rows.
     """
-    taken, bands, lanes = bands_for(likeness, documents.count())
-    radius = int(64 * lanes * (math.acos(2 * likeness / (1 + likeness)) / math.pi + margin))
-    texts = documents.select(F.col(identity).alias("_id"), F.col(text).alias("text"))
-    marked = extend(texts, "text", {"fp": T.BinaryType(), "node": T.BinaryType()}, set_hasher, width, lanes)
-    marked = materialize(marked.select(F.col("_id").alias(identity), F.xxhash64("text").alias("copy"), "fp", "node"))
-    nodes = materialize(marked.groupBy("node").agg(F.min(identity).alias("first"), F.min(F.struct(F.col(identity).alias("id"), "copy")).alias("one"), F.min("fp").alias("fp")))
-    roots = components(linked(nodes.select("fp").distinct(), radius, bands, taken)).withColumnRenamed("node", "_n")
-    members = nodes.join(roots, nodes.fp == roots._n, "left").select(F.coalesce("root", "fp").alias("key"), "node")
-    ones = nodes.select("node", "one")
-
-    def link(rows: DataFrame) -> DataFrame:
-        """Texts go to the rows of candidates, one text for each set."""
-        asked = rows.join(ones, "node").select("key", "node", F.col("one.id").alias("_one"), F.col("one.copy").alias("_copy"))
-        met = texts.join(asked.hint("merge"), F.col("_id").eqNullSafe(F.col("_one")) & F.xxhash64("text").eqNullSafe(F.col("_copy")))
-        return met.select("key", "node", "text").repartition("key").sortWithinPartitions("key").mapInArrow(set_linker(width, likeness), "u binary, v binary")
-
-    found = with_least(nodes.select("node", "first"), components(exhaustive(materialize(members), link, TEXTS)))
-    # All on short rows; texts meet only the rows that go. That join sorts at every size: a plan that broadcasts
-    # what goes while it is small would move no text on small inputs and all of it on large ones.
-    rows = marked.join(found, "node").withColumn("own", F.col(identity).eqNullSafe(F.col("component_id"))).withColumn("alone", F.when(F.col("component_id").isNull(), F.col("node")))
-    best = rows.where("own").groupBy(F.col("component_id").alias("_c"), F.col("alone").alias("_a")).agg(F.min("copy").alias("_best"))
-    rows = rows.join(best, F.col("component_id").eqNullSafe(F.col("_c")) & F.col("alone").eqNullSafe(F.col("_a")), "left")
-    own_id, own_copy = fresh(documents, "_id"), fresh(documents, "_copy")
-    gone = materialize(rows.where(~(F.col("own") & F.col("copy").eqNullSafe(F.col("_best")))).select(F.col(identity).alias(own_id), F.col("copy").alias(own_copy)).distinct())
+    with scope() as keep:
+        texts = documents.select(F.col(identity).alias("_id"), F.col(text).alias("text"))
+        marked = extend(texts, "text", {"fp": T.BinaryType(), "node": T.BinaryType(), "bands": T.ArrayType(T.LongType())}, set_hasher, width)
+        marked = materialize(marked.select(F.col("_id").alias(identity), F.xxhash64("text").alias("copy"), "fp", "node", "bands"))
+        nodes = materialize(marked.groupBy("node").agg(F.min(identity).alias("first"), F.min(F.struct(F.col(identity).alias("id"), "copy")).alias("one"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+        buckets = nodes.select(F.explode("bands").alias("key"), "fp").distinct()
+        roots = components(linked_in_buckets(buckets, wide_radius(likeness, margin))).withColumnRenamed("node", "_n")
+        members = materialize(nodes.join(roots, nodes.fp == roots._n, "left").select(F.coalesce("root", "fp").alias("key"), "node", F.col("one.id").alias("_one"), F.col("one.copy").alias("_copy")))
+        # Only sets with a candidate are needed, one text for each. The join sorts at every size: a plan that broadcasts
+        # what is asked while it is small would move no text on small inputs and all of it on large ones.
+        crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        asked = materialize(members.join(crowds, "key", "left_semi"))
+        met = texts.join(asked.select("node", "_one", "_copy").hint("merge"), F.col("_id").eqNullSafe(F.col("_one")) & F.xxhash64("text").eqNullSafe(F.col("_copy"))).select("node", "text")
+        sets = materialize(met.mapInArrow(set_packer(width), "node binary, hashes binary"))
+
+        def link(rows: DataFrame) -> DataFrame:
+            return rows.join(sets, "node").select("key", "node", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(set_linker(likeness), "u binary, v binary")
+
+        found = with_least(nodes.select("node", "first"), components(exhaustive(asked.select("key", "node"), link, TEXTS)))
+        # All on short rows; texts meet only the rows that go, again by sorting at every size.
+        rows = marked.join(found, "node").withColumn("own", F.col(identity).eqNullSafe(F.col("component_id"))).withColumn("alone", F.when(F.col("component_id").isNull(), F.col("node")))
+        best = rows.where("own").groupBy(F.col("component_id").alias("_c"), F.col("alone").alias("_a")).agg(F.min("copy").alias("_best"))
+        rows = rows.join(best, F.col("component_id").eqNullSafe(F.col("_c")) & F.col("alone").eqNullSafe(F.col("_a")), "left")
+        own_id, own_copy = fresh(documents, "_id"), fresh(documents, "_copy")
+        gone = keep(materialize(rows.where(~(F.col("own") & F.col("copy").eqNullSafe(F.col("_best")))).select(F.col(identity).alias(own_id), F.col("copy").alias(own_copy)).distinct()))
     return documents.join(gone.hint("merge"), F.col(identity).eqNullSafe(F.col(own_id)) & F.xxhash64(text).eqNullSafe(F.col(own_copy)), "left_anti")

@@ -212,16 +212,13 @@ def test_hot_buckets_of_wide_fingerprints(spark, monkeypatch):
 
 def test_hot_wide_buckets_lose_no_pair(spark, monkeypatch):
     rng = random.Random(9)
-    shared = rng.getrandbits(13)  # all agree on the first band
-    fresh = lambda: shared << 307 | rng.getrandbits(307)
-    spread = lambda n: n ^ sum(1 << 320 - 13 * b - 1 - rng.randrange(13) for b in range(1, 24))  # a bit of each other band
-    numbers = [fresh() for _ in range(40)]
-    numbers += [spread(n) for n in numbers[:30]]
-    family = fresh()
+    numbers = [rng.getrandbits(320) for _ in range(40)]
+    numbers += [n ^ sum(1 << k for k in rng.sample(range(320), 50)) for n in numbers[:30]]
+    family = rng.getrandbits(320)
     numbers += [family ^ 1 << k for k in range(40)]
     monkeypatch.setattr(simhash, "HOT", 10)
-    fps = spark.createDataFrame([(bytearray(n.to_bytes(40)),) for n in numbers], "fp binary")
-    roots = {bytes(r.node): bytes(r.root) for r in simhash.components(simhash.linked(fps, 53, 24, 13)).collect()}
+    rows = spark.createDataFrame([(7, bytearray(n.to_bytes(40))) for n in numbers], "key long, fp binary")
+    roots = {bytes(r.node): bytes(r.root) for r in simhash.components(simhash.linked_in_buckets(rows, 53)).collect()}
     classes, got = {}, {}
     for n, c in zip(numbers, brute_components(list(enumerate(numbers)), 53), strict=True):
         classes.setdefault(c, set()).add(n)
@@ -236,12 +233,30 @@ def test_texts_of_marks_alone_meet_only_their_equals(spark):
     assert kept == [1, 2, 4, 5, 6, 8]
 
 
-def test_the_number_of_documents_does_not_change_what_is_alike(spark, monkeypatch):
+def test_verdicts_do_not_depend_on_the_other_documents(spark):
     rng = random.Random(3)
     docs = []
     for k in range(15):
         base = [f"w{rng.getrandbits(30)}" for _ in range(300)]
         docs += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(changed(rng, base, 1 / 38))), (10 * k + 2, " ".join(changed(rng, base, 1 / 90)))]
-    df, right, wide = spark.createDataFrame(docs, "doc_id long, text string"), kept_by_brute_force(docs), simhash.bands_for(0.8, 2**25)
-    monkeypatch.setattr(simhash, "bands_for", lambda *_: wide)
-    assert {r.doc_id for r in simhash.deduplicated(df).collect()} == right == {10 * k + c for k in range(15) for c in (0, 1)}
+    more = [(1000 + d, " ".join(f"v{rng.getrandbits(12)}" for _ in range(60))) for d in range(2500)]
+    kept = lambda rows: {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    alone, among = kept(docs), kept(docs + more)
+    assert alone == {d for d in among if d < 1000} == kept_by_brute_force(docs) == {10 * k + c for k in range(15) for c in (0, 1)}
+    assert {d for d, _ in more} <= among
+
+
+def test_sets_meet_in_a_band_as_often_as_their_likeness_says():
+    rng, found, n = random.Random(6), 0, 400
+    for _ in range(n):
+        both = [rng.getrandbits(64) for _ in range(240)]
+        a, b = (np.unique(np.array(both + [rng.getrandbits(64) for _ in range(30)], np.uint64)) for _ in range(2))  # likeness 0.8
+        found += bool(set(simhash.band_keys(a)) & set(simhash.band_keys(b)))
+    assert found >= 0.98 * n
+    assert len(simhash.band_keys(a)) == simhash.BANDS and simhash.band_keys(np.empty(0, np.uint64)) == [0]
+
+
+def test_long_chains_settle(spark):
+    edges = spark.createDataFrame([(bytearray(k.to_bytes(4)), bytearray((k + 1).to_bytes(4))) for k in range(300)], "u binary, v binary")
+    roots = simhash.components(edges).collect()
+    assert len(roots) == 301 and {bytes(r.root) for r in roots} == {bytes(4)}
