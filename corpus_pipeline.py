@@ -8,18 +8,26 @@ operators state, and no rows give no rows.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, mixing, quality, secret_scan, simhash
-from quern.llm.common import WORD, documents
+from quern.llm.common import WORD, documents, fresh, materialize, release, scope
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def beside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` without columns of these names, which an operator gives its own, and what to select to have them back."""
+    taken = {n.lower() for n in names}
+    other = [fresh(docs, c) if c.lower() in taken else c for c in docs.columns]
+    return docs.toDF(*other), [F.col(f"`{o}`").alias(c) for o, c in zip(other, docs.columns, strict=True)]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose best grade is likely enough; the model learns from the labelled ones among them."""
-    return quality.judged(docs, documents(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    docs, back = beside(docs, "keep", "expected_grade", "tail_probability")
+    return quality.judged(docs, documents(spark, sf_dir, "labels")).where("keep").select(*back)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +37,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark; n_chars follows the text."""
+    docs, back = beside(docs, "spans")
     found = secret_scan.scan(docs)
     clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*back)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +55,16 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", dedup_stage), ("secrets", secrets_stage), ("mixing", mixing_stage), ("encoding", encoding_stage)]
-#: Learned weights, SimHash components and BPE have no SQL: tests hold the stages against brute force.
+#: Learned weights, SimHash components and BPE have no SQL: tests hold each stage against plain computations over its own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents; each one's result is written before the next reads it, and goes when that is written."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        with scope() as keep:
+            after = keep(materialize(stage(spark, docs, sf_dir)))
+        release(docs)
+        docs = after
     return docs
