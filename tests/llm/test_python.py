@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import bpe, media, quality, token_counts
@@ -292,6 +293,65 @@ def test_pipeline_stages(spark, tmp_path):
     assert [i for c in t.chunks(text) for w in t.words(c) for i in t.merge([w])[0]] == list(row.ids) and row.n_tokens == len(row.ids)
 
 
+def test_every_stage_against_plain_computations(spark, tmp_path):
+    import re
+
+    from tests.llm.test_bpe import Library
+    from tests.llm.test_native import brute_base, brute_targets
+    from tests.llm.test_simhash import kept_by_brute_force
+
+    d, rows, docs = "/root/testdata/sf0.001", {}, None
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows["input"] = docs.collect()
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, d).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        rows[name] = docs.collect()
+    # quality: scores by plain sums
+    model = quality.train(spark.read.parquet(f"{d}/documents.parquet"), quality.rated(spark.read.parquet(f"{d}/labels.parquet")), quality.GRADES)
+    chance = lambda t: 1 / (1 + np.exp(-(sum(float(model.weights[b]) for b in plain_features(t)) - model.thresholds[-1])))
+    assert {r.doc_id for r in rows["quality"]} == {r.doc_id for r in rows["input"] if chance(r.text) >= quality.KEEP}
+    # near_dedup: every pair's shingle sets
+    assert {r.doc_id for r in rows["near_dedup"]} == kept_by_brute_force([(r.doc_id, r.text) for r in rows["quality"]])
+    # secrets: no rule matches any more, and nothing else has changed
+    before = {r.doc_id: r for r in rows["near_dedup"]}
+    assert len(rows["secrets"]) == len(before)
+    for r in rows["secrets"]:
+        old = before[r.doc_id].text
+        kept = re.escape(r.text).replace(re.escape("[SECRET]"), "(?s:.+)")
+        assert re.fullmatch(kept, old) and r.n_chars == len(r.text) and not brute_base(r.text.replace("[SECRET]", " "))
+        assert ("[SECRET]" in r.text) or r.text == old
+    # mixing: targets, and copies of a document the floor of its source's rate or one more
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    sizes, copies = {}, {}
+    for r in rows["secrets"]:
+        sizes[r.source] = sizes.get(r.source, 0) + words(r.text)
+    for r in rows["mixing"]:
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    targets = brute_targets(sizes)
+    for r in rows["secrets"]:
+        assert copies.get(r.doc_id, 0) - int(targets[r.source] / sizes[r.source]) in (0, 1)
+    # encoding: the library's ids of every row
+    library, coded = Library.from_file(corpus_pipeline.TOKENIZER), {}
+    for r in rows["encoding"]:
+        coded.setdefault(r.doc_id, []).append(list(r.ids))
+    for r in rows["secrets"]:
+        ids = library.encode(r.text, add_special_tokens=False).ids
+        assert coded.get(r.doc_id, []) == [ids] * copies.get(r.doc_id, 0)
+    assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, d).collect()) == sorted((r.doc_id, r.n_tokens) for r in rows["encoding"])
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = ["keep", "expected_grade", "tail_probability", "spans", "copies", "row", "_id", "fp", "node", "bands", "draw", "ids"]
+    docs = spark.createDataFrame([(k, f"words of text {k} token=abcdef{k}", "en", "s", 20) for k in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in extra})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[5:] == extra, name
+        assert {tuple(r[5:]) for r in docs.collect()} == {tuple(f"own {c}" for c in extra)}, name
+
+
 def test_pipeline_of_awkward_and_no_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
