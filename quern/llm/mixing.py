@@ -24,7 +24,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import chance, fresh, longs, materialize
+from quern.llm.common import chance, fresh, let, longs, materialize, scope
 
 SEED = 1000
 #: Weights of the sources in code-point order, repeating.
@@ -72,8 +72,8 @@ def source_targets(sizes: DataFrame, share: float = 1.5, ceiling: float = 2.0, w
 
 
 def size_class(size: Column) -> Column:
-    """Documents of one class differ in size by less than a tenth."""
-    return F.when(size > 0, F.floor(F.log2(size.cast("double")) * CLASSES)).otherwise(-1).cast("int")
+    """Documents of one class differ in size by less than a tenth. The size, which may be long to count, is asked once."""
+    return F.coalesce(let(size, lambda n: F.when(n > 0, F.floor(F.log2(n.cast("double")) * CLASSES)).otherwise(-1).cast("int")), F.lit(-1))
 
 
 def draw_number(draw: Column) -> Column:
@@ -89,31 +89,32 @@ def plan(sizes: DataFrame, share: float = 1.5, ceiling: float = 2.0, weights: tu
     the extra copy.
     """
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.class") == F.col(f"{b}.class"))
-    targets = source_targets(sizes, share, ceiling, weights).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    number = draw_number(F.col("draw"))
-    d = sizes.select("source", size_class(F.coalesce("size", F.lit(0))).alias("class"), number.alias("number")).withColumn("bin", F.shiftright("number", 63 - BIN_BITS).cast("int"))
-    bins = materialize(d.groupBy("source", "class", "bin").agg(F.count(F.lit(1)).alias("n")))
-    classes = bins.groupBy("source", "class").agg(F.sum("n").alias("n")).alias("c")
-    classes = classes.join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "class", "n", "source_size", "target", "rate")
-    # From the largest class down: what rounding adds in one class it takes from the next.
-    along = Window.partitionBy("source").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.sum("n").over(along) * (F.col("rate") - F.floor("rate"))
-    start = chance(SEED, F.col("source"))
-    upto = lambda x: F.floor(x + start).cast("long")
-    taken = upto(reached) - F.coalesce(F.lag(upto(reached)).over(Window.partitionBy("source").orderBy(F.desc("class"))), F.lit(0))
-    classes = materialize(classes.withColumn("extra", F.least("n", taken)))
-    # The bin in which a class is cut, then the document in that bin.
-    up = Window.partitionBy("source", "class").orderBy("bin")
-    some = classes.where("extra > 0 AND extra < n").select("source", "class", "extra")
-    b = bins.alias("b").join(some.alias("s"), same("b", "s"))
-    b = b.select("b.source", "b.class", "bin", "n", "extra").withColumn("upto", F.sum("n").over(up))
-    b = materialize(b.where("upto >= extra AND upto - n < extra").select("source", "class", "bin", (F.col("extra") - F.col("upto") + F.col("n")).alias("wanted")))
-    near = d.alias("d").join(b.alias("b"), same("d", "b") & (F.col("d.bin") == F.col("b.bin")))
-    near = near.select("d.source", "d.class", "number", "wanted").withColumn("at", F.row_number().over(Window.partitionBy("source", "class").orderBy("number")))
-    cuts = near.where("at = wanted").select("source", "class", F.col("number").alias("cut")).alias("k")
-    p = classes.alias("c").join(cuts, same("c", "k"), "left")
-    cut = F.when(F.col("extra") == 0, F.lit(-1)).when(F.col("extra") == F.col("n"), F.lit(2**63 - 1)).otherwise(F.col("cut"))
-    return materialize(p.select("c.source", "c.class", "source_size", "target", "rate", cut.cast("long").alias("cut")))
+    with scope() as keep:
+        targets = source_targets(sizes, share, ceiling, weights).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+        number = draw_number(F.col("draw"))
+        d = sizes.select("source", size_class(F.coalesce("size", F.lit(0))).alias("class"), number.alias("number")).withColumn("bin", F.shiftright("number", 63 - BIN_BITS).cast("int"))
+        bins = materialize(d.groupBy("source", "class", "bin").agg(F.count(F.lit(1)).alias("n")))
+        classes = bins.groupBy("source", "class").agg(F.sum("n").alias("n")).alias("c")
+        classes = classes.join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "class", "n", "source_size", "target", "rate")
+        # From the largest class down: what rounding adds in one class it takes from the next.
+        along = Window.partitionBy("source").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, 0)
+        reached = F.sum("n").over(along) * (F.col("rate") - F.floor("rate"))
+        start = chance(SEED, F.col("source"))
+        upto = lambda x: F.floor(x + start).cast("long")
+        taken = upto(reached) - F.coalesce(F.lag(upto(reached)).over(Window.partitionBy("source").orderBy(F.desc("class"))), F.lit(0))
+        classes = materialize(classes.withColumn("extra", F.least("n", taken)))
+        # The bin in which a class is cut, then the document in that bin.
+        up = Window.partitionBy("source", "class").orderBy("bin")
+        some = classes.where("extra > 0 AND extra < n").select("source", "class", "extra")
+        b = bins.alias("b").join(some.alias("s"), same("b", "s"))
+        b = b.select("b.source", "b.class", "bin", "n", "extra").withColumn("upto", F.sum("n").over(up))
+        b = materialize(b.where("upto >= extra AND upto - n < extra").select("source", "class", "bin", (F.col("extra") - F.col("upto") + F.col("n")).alias("wanted")))
+        near = d.alias("d").join(b.alias("b"), same("d", "b") & (F.col("d.bin") == F.col("b.bin")))
+        near = near.select("d.source", "d.class", "number", "wanted").withColumn("at", F.row_number().over(Window.partitionBy("source", "class").orderBy("number")))
+        cuts = near.where("at = wanted").select("source", "class", F.col("number").alias("cut")).alias("k")
+        p = classes.alias("c").join(cuts, same("c", "k"), "left")
+        cut = F.when(F.col("extra") == 0, F.lit(-1)).when(F.col("extra") == F.col("n"), F.lit(2**63 - 1)).otherwise(F.col("cut"))
+        return keep(materialize(p.select("c.source", "c.class", "source_size", "target", "rate", cut.cast("long").alias("cut"))))
 
 
 def with_copies(documents: DataFrame, sources: DataFrame, source: str, size: Column, draw: Column) -> DataFrame:

@@ -593,7 +593,7 @@ def deduplicated(documents: DataFrame, identity: str = "doc_id", text: str = "te
         members = materialize(nodes.join(roots, nodes.fp == roots._n, "left").select(F.coalesce("root", "fp").alias("key"), "node", F.col("one.id").alias("_one"), F.col("one.copy").alias("_copy")))
         # Only sets with a candidate are needed, one text for each. The join sorts at every size: a plan that broadcasts
         # what is asked while it is small would move no text on small inputs and all of it on large ones.
-        crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        crowds = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
         asked = materialize(members.join(crowds, "key", "left_semi"))
         met = texts.join(asked.select("node", "_one", "_copy").hint("merge"), F.col("_id").eqNullSafe(F.col("_one")) & F.xxhash64("text").eqNullSafe(F.col("_copy"))).select("node", "text")
         sets = materialize(met.mapInArrow(set_packer(width), "node binary, hashes binary"))
