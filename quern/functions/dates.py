@@ -9,8 +9,9 @@ DAY_MS = 86_400_000
 
 
 def make_date(day: Column, month: Column, year: Column) -> Column:
-    """Null for what is no date."""
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+    """Null for what is no date, and for years outside 0 to 9999."""
+    good = day.between(1, 31) & month.between(1, 12) & year.between(0, 9999)
+    return F.when(good, F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd"))
 
 
 def make_time(hour: Column, minute: Column, second: Column, ms: Column) -> Column:
@@ -80,3 +81,13 @@ def timestamp_to_date(ts: Column) -> Column:
 
 def timestamp_to_time(ts: Column) -> Column:
     return ((F.hour(ts) * 60 + F.minute(ts)) * 60 + F.second(ts)) * 1000
+
+
+def today() -> Column:
+    return F.current_date()
+
+
+def now() -> Column:
+    """The time of day in milliseconds."""
+    t = F.current_timestamp()
+    return (((F.hour(t) * 60 + F.minute(t)) * 60 + F.second(t)) * 1000).cast("int")

@@ -25,8 +25,8 @@ def odd(x: Column) -> Column:
 
 
 def div(a: Column, b: Column) -> Column:
-    """Whole quotient, truncated towards zero."""
-    return ((a - a % b) / b).cast("long")
+    """Whole quotient of whole numbers, truncated towards zero, exact in all 64 bits."""
+    return F.call_function("div", a, b)
 
 
 def add_money(a: Column, b: Column) -> Column:

@@ -80,16 +80,32 @@ def cascade_update(parent: DataFrame, key: str, value: Column, where: Column, ch
     return update(parent, {key: value}, where), moved
 
 
-def sequence(df: DataFrame, order: list[str], start: int = 1, step: int = 1, into: str = "value") -> DataFrame:
-    """Consecutive sequence values in a stable order, numbered range by range: no task holds all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+def sequence(df: DataFrame, order: list[str], start: int = 1, step: int = 1, into: str = "value", minimum: int | None = None, maximum: int | None = None, cycle: bool = False) -> DataFrame:
+    """Consecutive sequence values in a stable order, numbered range by range: no task holds all rows.
+
+    Rows of equal ``order`` follow by their other columns. Beyond ``maximum``
+    (``minimum`` for negative steps) values go on from the other bound if
+    ``cycle``; otherwise the sequence is exhausted, which is an error.
+    """
+    by = order + [f.name for f in df.schema.fields if f.name not in order and f.dataType.typeName() not in ("map", "variant")]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     ranged = ranged.persist()  # ranges are sampled: both uses need the same ones
     held = {r[0]: r[1] for r in ranged.groupBy("_part").count().collect()}  # one row a partition
     before, at = {}, 0
     for p in sorted(held):
         before[p], at = at, at + held[p]
     offsets = F.create_map(*[F.lit(x) for p in before for x in (p, before[p])]) if before else F.create_map(F.lit(0), F.lit(0))
-    return ranged.withColumn(into, (F.lit(start) + (F.try_element_at(offsets, F.col("_part")) + F.col("_at")) * step).cast("long")).drop("_part", "_at")
+    number = F.try_element_at(offsets, F.col("_part")) + F.col("_at")
+    value = F.lit(start) + number * step
+    last, first = (maximum, minimum) if step > 0 else (minimum, maximum)
+    if last is not None:
+        once = (last - start) // step + 1  # values until the bound
+        again = F.raise_error(F.lit("the sequence is exhausted"))
+        if cycle:
+            first = (1 if step > 0 else -1) if first is None else first
+            again = F.lit(first) + (number - once) % ((last - first) // step + 1) * step
+        value = F.when(number < once, value).otherwise(again)
+    return ranged.withColumn(into, value.cast("long")).drop("_part", "_at")
 
 
 def replace_table(df: DataFrame, path: str) -> None:

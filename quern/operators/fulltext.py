@@ -68,12 +68,14 @@ class Node:
     cased: bool = False
 
 
-TOKEN = re.compile(r'\s*(?:(?P<phrase>"[^"]*")|(?P<open>\()|(?P<close>\))|(?P<word>=?[^\s()"]+))')
+TOKEN = re.compile(r'\s*(?:(?P<phrase>"[^"]*")|(?P<open>\()|(?P<close>\))|(?P<word>=?[^\s()"]+)|(?P<open_quote>"))')
 
 
 def parse(query: str) -> Node:
     """OR binds weakest, then AND, then NOT; words side by side are near each other, quoted ones in order."""
     tokens = [(m.lastgroup, m[m.lastgroup]) for m in TOKEN.finditer(query)]
+    if any(kind == "open_quote" for kind, _ in tokens):
+        raise ValueError("a quote is not closed")
     at = 0
 
     def peek(*words):
@@ -145,16 +147,71 @@ def pushed(node: Node, negated: bool = False) -> Node:
     return Node("not", parts=(node,)) if negated else node
 
 
+def write_index(index: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Postings written in the order of words: a query then reads the files and row groups of its words alone."""
+    index.repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id", "position").write.mode(mode).parquet(path)
+
+
+def occurrence(node: Node, system: System) -> Column:
+    """Whether a posting is one of the word that ``node`` is."""
+    word = node.words[0]
+    hit = F.col("word") == word.lower()[: system.longest]
+    if node.cased and word != word.lower() and word == word.upper() and len(word) > 1:
+        return hit & F.col("all_upper")
+    if node.cased and word[:1] != word[:1].lower():
+        return hit & F.col("first_upper")
+    return hit
+
+
+def single_words(node: Node) -> list[Node] | None:
+    """The words of a query without phrases, neighbourhoods and negations alone; None for others."""
+    if node.kind == "word":
+        return [node]
+    if node.kind == "and":
+        parts = [p.parts[0] if p.kind == "not" else p for p in node.parts]
+        wanted = any(p.kind != "not" for p in node.parts)
+    elif node.kind == "or":
+        parts, wanted = list(node.parts), all(p.kind != "not" for p in node.parts)
+    else:
+        return None
+    found = [single_words(p) for p in parts]
+    return sum(found, []) if wanted and all(f is not None for f in found) else None
+
+
+def counted_search(index: DataFrame, node: Node, words: list[Node], system: System) -> DataFrame:
+    """A query of single words in one pass: each document's occurrences of all words are one aggregate."""
+    each = list(dict.fromkeys(words))
+    hits = [occurrence(w, system) for w in each]
+    every = hits[0]
+    for h in hits[1:]:
+        every = every | h
+    sums = [e for k, h in enumerate(hits) for e in (F.count_if(h).alias(f"_n{k}"), F.min(F.when(h, F.col("position"))).alias(f"_p{k}"))]
+    rows = index.where(every).groupBy("doc_id").agg(*sums)
+
+    def answer(n: Node) -> tuple[Column, Column, Column]:
+        """Whether a document answers, its weight and position; the last two are null if not."""
+        if n.kind == "word":
+            k = each.index(n)
+            return F.col(f"_n{k}") > 0, F.when(F.col(f"_n{k}") > 0, F.col(f"_n{k}")), F.col(f"_p{k}")
+        parts = [(p.kind == "not", *answer(p.parts[0] if p.kind == "not" else p)) for p in n.parts]
+        some = [p for p in parts if not p[0]]
+        least = lambda xs: F.least(*xs) if len(xs) > 1 else xs[0]
+        greatest = lambda xs: F.greatest(*xs) if len(xs) > 1 else xs[0]
+        held = F.lit(n.kind == "and")
+        for negated, h, _, _ in parts:
+            h = ~h if negated else h
+            held = held & h if n.kind == "and" else held | h
+        weight = (least if n.kind == "and" else greatest)([p[2] for p in some])
+        return held, F.when(held, weight), F.when(held, least([p[3] for p in some]))
+
+    held, weight, position = answer(node)
+    return rows.where(held).select("doc_id", weight.alias("weight"), position.alias("position"))
+
+
 def leaf(index: DataFrame, node: Node, system: System) -> DataFrame:
     """doc_id, weight, position of a word, phrase or neighbourhood; weights count occurrences of the first word."""
     if node.kind == "word":
-        word = node.words[0]
-        hits = index.where(F.col("word") == word.lower()[: system.longest])
-        if node.cased:
-            if word != word.lower() and word == word.upper() and len(word) > 1:
-                hits = hits.where("all_upper")
-            elif word[:1] != word[:1].lower():
-                hits = hits.where("first_upper")
+        hits = index.where(occurrence(node, system))
     else:
         words = [w[: system.longest] for w in node.words]
         gaps, kept = [], []
@@ -182,6 +239,8 @@ def search(index: DataFrame, query: str | Node, system: System = System(), docum
     documents: needed where a part of the query is only a negation; those have weight 0.
     """
     node = parse(query) if isinstance(query, str) else query
+    if words := single_words(node):
+        return counted_search(index, node, words, system)
     if node.kind == "not":
         if documents is None:
             raise ValueError("a negation alone needs the documents")

@@ -197,6 +197,15 @@ sql("union_corresponding", "nation region", "SELECT n_regionkey AS k, n_name AS
 sql("except_corresponding_by", "customer supplier", "SELECT c_nationkey AS k, c_custkey AS id FROM customer EXCEPT ALL CORRESPONDING BY (k) SELECT s_suppkey AS id, s_nationkey AS k FROM supplier", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", legacy=True)
 sql("intersect_corresponding", "customer supplier", "SELECT c_nationkey AS k, c_custkey AS c FROM customer INTERSECT CORRESPONDING SELECT s_nationkey AS k, s_name AS n FROM supplier", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", legacy=True)
 
+sql("except_corresponding_chain", "customer supplier nation", "SELECT n_nationkey AS k, n_name AS a FROM nation EXCEPT CORRESPONDING SELECT s_nationkey AS k, s_name AS b FROM supplier WHERE s_acctbal < 0 EXCEPT CORRESPONDING SELECT 1 AS c, c_nationkey AS k FROM customer WHERE c_acctbal > 9900 ORDER BY k DESC LIMIT 7",
+    "SELECT k FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0 EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) t ORDER BY k DESC LIMIT 7", legacy=True)
+sql("union_intersect_corresponding", "customer supplier region", "SELECT r_regionkey AS k, r_name AS a FROM region UNION CORRESPONDING SELECT c_nationkey AS k FROM customer INTERSECT CORRESPONDING SELECT s_suppkey AS x, s_nationkey AS k FROM supplier",
+    "SELECT r_regionkey AS k FROM region UNION (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)", legacy=True)
+sql("union_join_filtered", "nation region", "SELECT n.n_nationkey AS k, r.r_name AS name FROM nation AS n UNION JOIN region r WHERE n.n_nationkey > 20 OR r.r_regionkey >= 0",
+    "SELECT n_nationkey AS k, CAST(NULL AS varchar) AS name FROM nation WHERE n_nationkey > 20 UNION ALL SELECT NULL, r_name FROM region WHERE r_regionkey >= 0", legacy=True)
+sql("index_column", "nation", "SELECT index AS k, t.index + 1 AS more FROM (SELECT n_nationkey AS index FROM nation) t WHERE index <=> 3 OR index > 20", "SELECT n_nationkey AS k, n_nationkey + 1 AS more FROM nation WHERE n_nationkey = 3 OR n_nationkey > 20", legacy=True)
+sql("odbc_functions", "nation", "SELECT {fn UCASE(n_name)} AS upper_name, {fn LENGTH(n_name)} AS size, {t '01:02:03'} AS t FROM nation", "SELECT upper(n_name) AS upper_name, CAST(length(n_name) AS int) AS size, 3723000 AS t FROM nation", legacy=True)
+
 
 @frame("(SELECT n_nationkey AS k, 'left' AS side FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey + 3 FROM region)) UNION ALL (SELECT r_regionkey + 3, 'right' FROM region WHERE r_regionkey + 3 NOT IN (SELECT n_nationkey FROM nation))")
 def table_comparison(spark, sf_dir):
@@ -429,6 +438,24 @@ def cascade_rows(spark, sf_dir):
     return dml.cascade_delete(table(spark, sf_dir, "customer"), "c_custkey", F.col("c_nationkey") == 4, table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey")[1]
 
 
+@frame("SELECT s_suppkey, 10 + ((row_number() OVER (ORDER BY s_suppkey) - 1) % 31) * 3 AS value FROM supplier")
+def sequence_cycle(spark, sf_dir):
+    return dml.sequence(table(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"], 10, 3, minimum=10, maximum=102, cycle=True)
+
+
+@frame("SELECT o_orderkey, CASE WHEN o_orderkey % 40 BETWEEN 1 AND 28 AND o_orderkey % 15 BETWEEN 1 AND 12 THEN make_date(1990 + o_orderkey % 20, o_orderkey % 15, o_orderkey % 40) END AS made FROM orders WHERE o_orderkey % 40 NOT IN (29, 30, 31)")
+def date_ranges(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 40 NOT IN (29, 30, 31)")
+    k = F.col("o_orderkey")
+    return o.select("o_orderkey", dates.make_date((k % 40).cast("int"), (k % 15).cast("int"), (1990 + k % 20).cast("int")).alias("made"))
+
+
+@frame("SELECT o_orderkey, (o_orderkey + 9007199254740993) // 3 AS q, -(o_orderkey // 7) AS r FROM orders")
+def whole_quotients(spark, sf_dir):
+    k = F.col("o_orderkey").cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.div(k + 9007199254740993, F.lit(3)).alias("q"), numbers.div(-k, F.lit(7)).alias("r"))
+
+
 # Catalog and documents
 
 

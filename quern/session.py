@@ -2,33 +2,30 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 
 def session(app: str = "quern", cores: int | str | None = None, **conf: str) -> SparkSession:
     """A session with ANSI arithmetic, UTC timestamps and adaptive execution.
 
-    On a cluster the master and memory come from spark-submit; ``cores`` only
-    matters for local runs.
+    ``cores`` makes a local session of so many threads. Without it, master,
+    memory and the number of shuffle partitions are what spark-submit or the
+    cluster's defaults say; set the last to suit the input, for adaptive
+    execution only lowers it.
     """
-    cores = cores or os.environ.get("BENCH_CPUS", "*")
     builder = SparkSession.builder.appName(app)
-    if "SPARK_MASTER" not in os.environ:
-        builder = builder.master(f"local[{cores}]")
     settings = {
         "spark.sql.ansi.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         "spark.sql.cbo.enabled": "true",
         "spark.sql.legacy.javaCharsets": "true",  # the code pages of old exports
-        "spark.ui.enabled": "false",
-        "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",
     }
+    if cores:
+        builder = builder.master(f"local[{cores}]")
+        settings |= {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"}
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -204,3 +204,81 @@ def test_cursors_and_routines(spark):
     with pytest.raises(LookupError):
         routines.select_into(spark, "SELECT k FROM cur")
     assert routines.checked(spark, "SELECT k FROM cur WHERE k !< 2") == "struct<k:int>"
+
+
+def values(spark, **sets):
+    for name, rows in sets.items():
+        spark.createDataFrame([(k, f"{name}{k}") for k in rows], f"k int, {name}_only string").createOrReplaceTempView(name)
+
+
+def test_corresponding_chains_and_trailing_clauses(spark):
+    values(spark, ca=[1, 2, 3, 4], cb=[2, 3], cc=[3])
+    keys = lambda q: [r.k for r in sql_compat.run(spark, q).collect()]
+    star = "SELECT * FROM"
+    assert sorted(keys(f"{star} ca EXCEPT CORRESPONDING {star} cb EXCEPT CORRESPONDING {star} cc")) == [1, 4]
+    assert keys(f"{star} ca EXCEPT CORRESPONDING {star} cb ORDER BY k DESC LIMIT 1") == [4]
+    assert keys(f"{star} ca UNION ALL CORRESPONDING BY (k) {star} cb ORDER BY k LIMIT 1, 3") == [2, 2, 3]
+    assert sorted(keys(f"{star} cc UNION CORRESPONDING {star} ca INTERSECT CORRESPONDING {star} cb")) == [2, 3]
+    assert sorted(keys(f"({star} cc UNION CORRESPONDING {star} ca) INTERSECT CORRESPONDING ({star} cb LIMIT 9)")) == [2, 3]
+    assert sorted(keys(f"WITH w AS (SELECT k FROM ca WHERE k > 1) {star} w EXCEPT CORRESPONDING {star} cb")) == [4]
+    assert sorted(keys("SELECT k FROM ca UNION SELECT k FROM cb EXCEPT CORRESPONDING SELECT k FROM cc")) == [1, 2, 4]
+
+
+def test_union_join_in_any_query(spark):
+    values(spark, ua=[1, 2])
+    spark.createDataFrame([(7, "x")], "m int, n string").createOrReplaceTempView("ub")
+    rows = sql_compat.run(spark, "SELECT a.k, b.m + 1 AS more FROM ua AS a UNION JOIN ub b WHERE b.n = 'x' OR a.k < 2").collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, None), (None, 8)]
+    assert sql_compat.run(spark, "SELECT * FROM ua UNION JOIN ub").count() == 3
+
+
+def test_index_is_a_hint_only_behind_a_table(spark):
+    spark.createDataFrame([(5, 6)], "index int, k int").createOrReplaceTempView("ix")
+    one = lambda q: tuple(sql_compat.run(spark, q).first())
+    assert one("SELECT index AS k FROM ix") == (5,)
+    assert one("SELECT k, index FROM ix WHERE index = 5 ORDER BY index") == (6, 5)
+    assert one("SELECT i.index FROM ix i INDEX by_k WHERE k = 6") == (5,)
+    assert one("SELECT k index FROM ix INDEX by_k") == (6,)
+
+
+def test_tokens_and_escapes_of_spark_and_odbc(spark):
+    one = lambda q: tuple(sql_compat.run(spark, q).first())
+    assert one("SELECT NULL <=> NULL AS a, '7' :: int AS b, transform(array(1), x -> x + 1)[0] AS c") == (True, 7, 2)
+    assert one("SELECT {fn UCASE('a')} AS a, {t '01:00:02'} AS t, {fn IFNULL(NULL, 3)} AS n") == ("A", 3602000, 3)
+    assert one("{call abs(-4)}") == (4,) and one("{? = call abs(-4)}") == (4,)
+    with pytest.raises(ValueError):
+        sql_compat.run(spark, "SELECT {guid 'x'} AS a")
+
+
+def test_dates_outside_their_ranges_and_exact_quotients(spark):
+    rows = [(310, 1, 2000), (1, 123, 2000), (1, 1, 12345), (29, 2, 1999), (29, 2, 2000), (1, 1, -4), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "d int, m int, y int")
+    assert [str(r[0]) for r in df.select(dates.make_date(F.col("d"), F.col("m"), F.col("y"))).collect()] == ["None"] * 4 + ["2000-02-29", "None", "None"]
+    big = spark.createDataFrame([(9007199254740993, 1), (-7, 2)], "a long, b long")
+    assert [r[0] for r in big.select(numbers.div(F.col("a"), F.col("b"))).collect()] == [9007199254740993, -3]
+    assert big.groupBy("b").agg(numbers.legacy_avg(F.col("a")).alias("v")).where("b = 1").first().v == 9007199254740993
+
+
+def test_sequence_bounds_and_ties(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d")], "k int, s string")
+    got = lambda **o: [r.value for r in dml.sequence(df, ["k"], **o).orderBy("k", "s").collect()]
+    assert got(start=2, maximum=3, cycle=True) == [2, 3, 1, 2]
+    assert got(start=5, step=-2, minimum=2, maximum=6, cycle=True) == [5, 3, 6, 4]
+    assert got(maximum=4) == [1, 2, 3, 4]
+    with pytest.raises(Exception, match="exhausted"):
+        got(maximum=3)
+
+
+def test_written_index_and_single_pass(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "The cat and the dog"), (2, "a DOG"), (3, "cat cat"), (4, None)], "doc_id long, text string")
+    index = fulltext.postings(docs)
+    fulltext.write_index(index, f"{tmp_path}/ix")
+    written = spark.read.parquet(f"{tmp_path}/ix")
+    for query in ("cat", "cat AND dog", "cat OR dog", "dog AND NOT cat", "(cat OR =DOG) AND NOT the", '"the dog" OR a', "NOT (cat AND dog)"):
+        plain = sorted(map(tuple, fulltext.search(index, query, documents=docs).collect()))
+        assert plain == sorted(map(tuple, fulltext.search(written, query, documents=docs).collect())), query
+    assert sorted(map(tuple, fulltext.search(index, "cat OR dog").collect())) == [(1, 1, 1), (2, 1, 1), (3, 2, 0)]
+    assert sorted(map(tuple, fulltext.search(index, "=DOG").collect())) == [(2, 1, 1)]
+    assert [f for f in fulltext.search(written, "cat")._jdf.queryExecution().toString().split() if "PushedFilters" in f]
+    with pytest.raises(ValueError):
+        fulltext.parse('cat AND "the dog')
