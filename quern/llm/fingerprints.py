@@ -52,15 +52,15 @@ def window_minima(runs: Column) -> Column:
 
 def chosen(data: Column, before: Column, least: Column) -> Column:
     """The different runs that the windows of some bytes choose, by position; at least ``least`` windows are asked, also short ones."""
-    def part(d: Column, at: Column) -> Column:
-        runs = grams(F.substring(d, at + 1, F.lit(SLICE + GRAM + WINDOW - 2)), before + at)
+    def of(runs: Column) -> Column:
         return let(window_minima(runs), lambda m: F.array_distinct(F.slice(m, F.lit(1), F.greatest(F.size(m) - (WINDOW - 1), least))))
 
-    def parts(d: Column) -> Column:
-        windows = F.greatest(F.octet_length(d) - (GRAM + WINDOW - 2), F.lit(1))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((windows - 1) / SLICE).cast("int")), lambda k: part(d, k * SLICE)))
+    def sliced(d: Column) -> Column:
+        part = lambda k: of(grams(F.substring(d, k * SLICE + 1, F.lit(SLICE + GRAM + WINDOW - 2)), before + k * SLICE))
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(d) - (GRAM + WINDOW - 1)) / SLICE).cast("int")), part)))
 
-    return F.array_distinct(let(data, parts))
+    # Most texts are one slice, and need no copy of it.
+    return let(data, lambda d: F.when(F.octet_length(d) <= SLICE, of(grams(d, before))).otherwise(sliced(d)))
 
 
 def winnow(text: Column) -> Column:

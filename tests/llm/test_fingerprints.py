@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import fingerprints as f
 from quern.llm.queries import op1_fingerprints
@@ -56,6 +57,22 @@ def test_nulls_ties_repeats_and_lengths(spark, tmp_path, monkeypatch, ranges):
     check(op1_fingerprints(spark, str(tmp_path)).collect(), docs)
 
 
+@pytest.mark.parametrize("windows", [47, 64, 100])
+def test_slices_choose_what_whole_texts_do(spark, tmp_path, monkeypatch, windows):
+    import random
+    rng = random.Random(windows)
+    monkeypatch.setattr(f, "SLICE", windows)
+    docs = [(k, "".join(rng.choices("ab é", k=n))) for k, n in enumerate([0, 1, 45, 46, 47, 48, 63, 64, 65, 110, 111, 112, 300, 1000])]
+    spark.createDataFrame(docs, "doc_id long, text string").withColumns({"_place": F.lit(1), "_range": F.lit(2), "next": F.lit(3)}).write.parquet(f"{tmp_path}/documents.parquet")
+    check(op1_fingerprints(spark, str(tmp_path)).collect(), docs)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "doc_id long, text string, _place int").withColumns({"_range": F.lit(7), "_guest": F.lit(8)})
+    out = f.with_next(df, "doc_id", ["text"], ["text"])
+    assert out.columns == [*df.columns, "next"] and sorted((r.doc_id, r._place, r._range, r.next.text) for r in out.collect()) == [(1, 5, 7, "b"), (2, 6, 7, "a")]
+
+
 def test_one_row_and_no_rows(spark, tmp_path):
     spark.createDataFrame([(1, "alone")], "doc_id long, text string").write.parquet(f"{tmp_path}/a/documents.parquet")
     check(op1_fingerprints(spark, f"{tmp_path}/a").collect(), [(1, "alone")])
