@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.catalog import register, table
+from quern.catalog import TABLES, register, table
 from quern.functions import conversions, dates, numbers, text
 from quern.operators import cursors, dml, fulltext, nullmode, quantified, setops
-from quern.plans import routines, sql_compat
-from quern.sources import infoviews, markup
+from quern.plans import ddl, routines, sql_compat
+from quern.sources import etl, infoviews, markup
 from quern.streaming import events as streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -459,10 +461,64 @@ def whole_quotients(spark, sf_dir):
 # Catalog and documents
 
 
-@frame(None)
+# The other engine's names of types, and Spark's.
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz", "DATE": "date", "FLOAT[]": "array<float>", "DOUBLE[]": "array<double>"}
+
+
+@frame(f"""SELECT table_name, column_name, CAST(ordinal_position AS int) AS ordinal, CASE data_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items())} ELSE lower(data_type) END AS type_name, is_nullable = 'YES' AS nullable
+    FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{t}'" for t in TABLES)})""")
 def table_columns(spark, sf_dir):
     register(spark, sf_dir)
-    return infoviews.table_columns(spark)
+    return infoviews.table_columns(spark).where(F.col("table_name").isin(*TABLES))
+
+
+def _scratch(spark) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, or on this machine for a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='quern-')}/quern/{uuid.uuid4().hex}"
+
+
+@frame("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def csv_round_trip(spark, sf_dir):
+    path, form = _scratch(spark), etl.Format(separator=";", decimal=",", encoding="CP1250")
+    etl.write_csv(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), path, form)
+    return etl.read_csv(spark, path, {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "bigint", "s_acctbal": "double"}, form)
+
+
+@frame("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def fixed_width_round_trip(spark, sf_dir):
+    path = _scratch(spark)
+    etl.write_fixed(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, [6, 30, 6])
+    return etl.read_fixed(spark, path, [("n_nationkey", 6, "bigint"), ("n_name", 30, "string"), ("n_regionkey", 6, "bigint")])
+
+
+@frame("SELECT p_partkey, p_name, p_size FROM part")
+def xml_round_trip(spark, sf_dir):
+    path = _scratch(spark)
+    etl.write_xml(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), path)
+    return etl.read_xml(spark, path, "row", "p_partkey bigint, p_name string, p_size bigint")
+
+
+@frame(f"{_POSTINGS} SELECT doc_id, count(*) AS weight, min(position) AS position FROM p WHERE word = 'license' GROUP BY doc_id")
+def ft_written_index(spark, sf_dir):
+    path = _scratch(spark)
+    fulltext.write_index(_index(spark, sf_dir), path)
+    return fulltext.search(spark.read.parquet(path), "license")
+
+
+@frame("SELECT n_name, CAST(n_nationkey AS int) AS k, CASE WHEN n_nationkey > 20 THEN 1.5 END AS rate FROM nation WHERE n_regionkey <> 2")
+def table_definition(spark, sf_dir):
+    name, domains = f"quern_{uuid.uuid4().hex}", {}
+    for statement in ("CREATE DOMAIN label AS CHAR(25)", f"CREATE TABLE {name} (n_name label NOT NULL PRIMARY KEY, k INTEGER CHECK (k >= 0), old DATE, INDEX (k))", f"ALTER TABLE {name} DROP COLUMN old", f"ALTER TABLE {name} ADD COLUMN rate REAL"):
+        ddl.execute(spark, statement, domains)
+    n = table(spark, sf_dir, "nation").where("n_regionkey <> 2")
+    rows = n.select("n_name", F.col("n_nationkey").cast("int").alias("k"), F.when(F.col("n_nationkey") > 20, 1.5).alias("rate"))
+    rows.write.insertInto(name)
+    found = spark.createDataFrame(spark.table(name).collect(), spark.table(name).schema)  # as many rows as there are nations
+    ddl.execute(spark, f"DROP TABLE {name}")
+    return found
 
 
 @frame("SELECT 'nation' AS table_name, count(*) AS n_rows FROM nation UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'orders', count(*) FROM orders")

@@ -1,7 +1,9 @@
-"""Catalog views as DataFrames: columns, tables, row counts, types, query profile."""
+"""Catalog views as DataFrames: columns, tables, row counts, constraints, types."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,5 +31,20 @@ def table_space(spark: SparkSession, names: list[str]) -> DataFrame:
     return out
 
 
+def constraints(spark: SparkSession, kind: str | None = None) -> DataFrame:
+    """table_name, kind, text of the keys, checks and indexes that tables were created with, or of one kind of them."""
+    rows = []
+    for t in spark.catalog.listTables():
+        if not t.isTemporary:
+            kept = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES `{t.name}`").collect()}.get("quern.constraints", "[]")
+            rows += [(t.name, *c) for c in json.loads(kept) if kind in (None, c[0])]
+    return spark.createDataFrame(rows, "table_name string, kind string, text string")
+
+
+def session_info(spark: SparkSession) -> DataFrame:
+    """user_name, schema_name, catalog_name of the session."""
+    return spark.sql("SELECT current_user() AS user_name, current_schema() AS schema_name, current_catalog() AS catalog_name")
+
+
 def type_info(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TYPES), "type_name string, data_type int, spark_type string")

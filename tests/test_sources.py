@@ -3,6 +3,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from quern.plans import ddl
 from quern.sources import dbf, etl, infoviews, markup
 from quern.streaming import events
 
@@ -67,3 +68,37 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     plain = lambda df: sorted((r.event_type, r.start, r.n) for r in df.collect())
     assert plain(spark.table("counted")) == plain(events.by_window(batch))
+
+
+def test_definitions_and_their_views(spark):
+    domains = {}
+    run = lambda s: ddl.execute(spark, s, domains)
+    run("CREATE DOMAIN amount NUMERIC(12, 2)")
+    run("CREATE TABLE orders_d (id INT NOT NULL PRIMARY KEY, total amount DEFAULT 1.5 CHECK (total > 0), note VARCHAR(20) REFERENCES notes (n), CONSTRAINT c UNIQUE (id, note), FOREIGN KEY (note) REFERENCES notes (n))")
+    assert spark.table("orders_d").dtypes == [("id", "int"), ("total", "decimal(12,2)"), ("note", "string")]
+    spark.sql("INSERT INTO orders_d (id, note) VALUES (1, 'x')")
+    assert tuple(spark.table("orders_d").first()) == (1, Decimal("1.50"), "x")
+    kinds = sorted((r.kind, r.text) for r in infoviews.constraints(spark).where("table_name = 'orders_d'").collect())
+    assert [k for k, _ in kinds] == ["CHECK", "FOREIGN KEY", "FOREIGN KEY", "PRIMARY KEY", "UNIQUE"] and kinds[0][1] == "(total > 0)"
+    run("ALTER TABLE orders_d DROP COLUMN note")
+    run("ALTER TABLE orders_d ADD COLUMN at DATE")
+    run("RENAME TABLE orders_d TO orders_e")
+    assert spark.table("orders_e").columns == ["id", "total", "at"] and spark.table("orders_e").count() == 1
+    run("DROP TABLE orders_e")
+    assert not spark.catalog.tableExists("orders_e") and "amount" in domains
+    run("DROP DOMAIN amount")
+    assert not domains and infoviews.session_info(spark).first().schema_name == "default"
+
+
+def test_jdbc_round_trip(spark):
+    url = "jdbc:derby:memory:quern;create=true"
+    df = spark.createDataFrame([(k, f"n{k}") for k in range(50)], "id int, name string")
+    etl.write_jdbc(df, url, "numbers", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    back = etl.read_jdbc(spark, url, "numbers", column="id", bounds=(0, 50), partitions=4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_external_files(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"\x00\xff")
+    row = etl.read_files(spark, str(tmp_path)).first()
+    assert bytes(row.content) == b"\x00\xff" and row.length == 2
