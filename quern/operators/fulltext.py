@@ -9,16 +9,19 @@ is, so that only their postings move.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word starts with one of these and goes on with the same or a hyphen. Both engines read the expression alike.
 STARTS = r"0-9@A-Za-z_\x{80}-\x{10FFFF}"
 WORD = f"[{STARTS}][{STARTS}-]*"
 LONGEST, NEAR = 40, 5
+# What an occurrence in text of class 1 (medium) or 2 (greatest) weighs beside the 1 of any occurrence.
+EMPHASIS = {1: 10, 2: 100}
 
 
 @dataclass(frozen=True)
@@ -31,18 +34,38 @@ class System:
     near: int = NEAR
 
 
-def postings(documents: DataFrame, system: System = System(), identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """word (lower case), doc_id, position (from 0), first_upper, all_upper; a null text has none."""
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(system.word), F.lit(0))
-    rows = documents.select(F.col(identity).alias("doc_id"), F.posexplode(words).alias("position", "_raw"))
+def postings(documents: DataFrame, system: System = System(), identity: str = "doc_id", text: str = "text", parts: dict[str, int] | None = None) -> DataFrame:
+    """word (lower case), doc_id, position (from 0), first_upper, all_upper; a null text has none.
+
+    parts: text columns in their order and the class of each (0, 1 or 2) in
+    place of ``text``; positions go on from part to part, and ``emphasis`` is
+    the class of each occurrence.
+    """
+    found = [F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(system.word), F.lit(0)) for c in parts or {text: 0}]
+    if parts:
+        classed = lambda k: lambda x: F.struct(x.alias("w"), F.lit(k).alias("emphasis"))
+        found = [F.transform(w, classed(k)) for w, k in zip(found, parts.values(), strict=True)]
+        rows = documents.select(F.col(identity).alias("doc_id"), F.posexplode(F.concat(*found)).alias("position", "_part")).select("doc_id", "position", F.col("_part.w").alias("_raw"), "_part.emphasis")
+    else:
+        rows = documents.select(F.col(identity).alias("doc_id"), F.posexplode(found[0]).alias("position", "_raw"))
     raw = F.left("_raw", F.lit(system.longest))
     head, rest = F.left("_raw", F.lit(1)), F.substring("_raw", F.lit(2), F.lit(system.longest))
     rows = rows.select(
         F.lower(raw).alias("word"), "doc_id", "position",
-        (F.upper(head).eqNullSafe(head) & (F.lower(head) != head)).alias("first_upper"), ((F.upper(raw) == raw) & (F.lower(raw) != raw) & (F.length(rest) > 0)).alias("all_upper"))
+        (F.upper(head).eqNullSafe(head) & (F.lower(head) != head)).alias("first_upper"), ((F.upper(raw) == raw) & (F.lower(raw) != raw) & (F.length(rest) > 0)).alias("all_upper"), *(["emphasis"] if parts else []))
     return rows.where(~F.col("word").isin(sorted(system.stop_words))) if system.stop_words else rows
 
 
+def occurrence_weight(index: DataFrame) -> Column:
+    """1, and more in text of a class where the index knows classes."""
+    if "emphasis" not in index.columns:
+        return F.lit(1)
+    more = F.lit(0)
+    for k, w in EMPHASIS.items():
+        more = F.when(F.col("emphasis") == k, w).otherwise(more)
+    return more + 1
+
+
 def word_table(index: DataFrame) -> DataFrame:
     """word, n_docs, n."""
     return index.groupBy("word").agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n"))
@@ -152,6 +175,32 @@ def write_index(index: DataFrame, path: str, mode: str = "errorifexists") -> Non
     index.repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id", "position").write.mode(mode).parquet(path)
 
 
+PROPERTY = "quern.fulltext"
+
+
+def stored_system(spark: SparkSession, name: str) -> tuple[DataFrame, System, DataFrame | None]:
+    """Postings, rules and ids of the documents of a system that CREATE FULLTEXT made."""
+    kept = json.loads({r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}[PROPERTY])
+    ids = None
+    for table, identity, _ in kept["items"]:
+        one = spark.table(table).select(F.col(identity).alias("doc_id"))
+        ids = one if ids is None else ids.union(one)
+    return spark.table(name), System(word=kept["word"]), ids
+
+
+def store(spark: SparkSession, name: str, word: str, items: list[list[str]]) -> None:
+    """(Re)writes the table ``name`` of the postings of (table, id column, text expression) items, in the order of words."""
+    index = None
+    for table, identity, text in items:
+        one = postings(spark.table(table).select(F.col(identity).alias("doc_id"), F.expr(text).alias("text")), System(word=word))
+        index = one if index is None else index.union(one)
+    if index is None:
+        index = spark.createDataFrame([], "word string, doc_id bigint, position int, first_upper boolean, all_upper boolean")
+    kept = json.dumps({"word": word, "items": items}).replace("\\", "\\\\").replace("'", "\\'")
+    index.repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id", "position").write.format("parquet").mode("overwrite").saveAsTable(name)
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{PROPERTY}' = '{kept}')")
+
+
 def occurrence(node: Node, system: System) -> Column:
     """Whether a posting is one of the word that ``node`` is."""
     word = node.words[0]
@@ -181,11 +230,11 @@ def single_words(node: Node) -> list[Node] | None:
 def counted_search(index: DataFrame, node: Node, words: list[Node], system: System) -> DataFrame:
     """A query of single words in one pass: each document's occurrences of all words are one aggregate."""
     each = list(dict.fromkeys(words))
-    hits = [occurrence(w, system) for w in each]
+    hits, weighs = [occurrence(w, system) for w in each], occurrence_weight(index)
     every = hits[0]
     for h in hits[1:]:
         every = every | h
-    sums = [e for k, h in enumerate(hits) for e in (F.count_if(h).alias(f"_n{k}"), F.min(F.when(h, F.col("position"))).alias(f"_p{k}"))]
+    sums = [e for k, h in enumerate(hits) for e in (F.sum(F.when(h, weighs).otherwise(0)).alias(f"_n{k}"), F.min(F.when(h, F.col("position"))).alias(f"_p{k}"))]
     rows = index.where(every).groupBy("doc_id").agg(*sums)
 
     def answer(n: Node) -> tuple[Column, Column, Column]:
@@ -209,9 +258,9 @@ def counted_search(index: DataFrame, node: Node, words: list[Node], system: Syst
 
 
 def leaf(index: DataFrame, node: Node, system: System) -> DataFrame:
-    """doc_id, weight, position of a word, phrase or neighbourhood; weights count occurrences of the first word."""
+    """doc_id, weight, position of a word, phrase or neighbourhood; weights are of the occurrences of the first word."""
     if node.kind == "word":
-        hits = index.where(occurrence(node, system))
+        hits = index.where(occurrence(node, system)).select("doc_id", "position", occurrence_weight(index).alias("_w"))
     else:
         words = [w[: system.longest] for w in node.words]
         gaps, kept = [], []
@@ -221,7 +270,7 @@ def leaf(index: DataFrame, node: Node, system: System) -> DataFrame:
                 gaps.append(k)
         if not kept:
             return index.limit(0).groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight"), F.min("position").alias("position"))
-        hits = index.where(F.col("word") == kept[0]).select("doc_id", "position")
+        hits = index.where(F.col("word") == kept[0]).select("doc_id", "position", occurrence_weight(index).alias("_w"))
         for k, w in enumerate(kept[1:], 1):
             other = index.where(F.col("word") == w).select("doc_id", F.col("position").alias("_p"))
             if node.kind == "phrase":
@@ -230,7 +279,7 @@ def leaf(index: DataFrame, node: Node, system: System) -> DataFrame:
             else:
                 near = (hits["doc_id"] == other["doc_id"]) & F.col("_p").between(F.col("position") - system.near, F.col("position") + system.near) & (F.col("_p") != F.col("position"))
                 hits = hits.join(other, near, "left_semi")
-    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight"), F.min("position").alias("position"))
+    return hits.groupBy("doc_id").agg(F.sum("_w").alias("weight"), F.min("position").alias("position"))
 
 
 def search(index: DataFrame, query: str | Node, system: System = System(), documents: DataFrame | None = None) -> DataFrame:
@@ -266,9 +315,17 @@ def search(index: DataFrame, query: str | Node, system: System = System(), docum
     return leaf(index, node, system)
 
 
-def snippet(text: Column, position: Column, before: int = 5, after: int = 5, start: str = "[", end: str = "]", system: System = System()) -> Column:
-    """The words around a position, the one there marked."""
+def snippet(text: Column, position: Column, before: int = 5, after: int = 5, start: str = "[", end: str = "]", system: System = System(), count: int = 1) -> Column:
+    """The words around a position, the ``count`` words from there on marked as one."""
     words = F.regexp_extract_all(text, F.lit(system.word), F.lit(0))
     first = F.greatest(position - before, F.lit(0))
-    around = F.slice(words, first + 1, F.lit(before + after + 1) - (first - (position - before)))
-    return F.array_join(F.transform(around, lambda w, k: F.when(k + first == position, F.concat(F.lit(start), w, F.lit(end))).otherwise(w)), " ")
+    around = F.slice(words, first + 1, F.lit(before + count + after) - (first - (position - before)))
+    last = F.least(position + count, F.size(words)) - 1
+    mark = lambda w, k: F.concat(F.when(k + first == position, F.lit(start)).otherwise(""), w, F.when(k + first == last, F.lit(end)).otherwise(""))
+    return F.array_join(F.transform(around, mark), " ")
+
+
+def contexts(found: DataFrame, documents: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``found`` with ``context``, the snippet at each answer's position in the document of its id."""
+    texts = documents.select("doc_id", F.col(text).alias("_text"))
+    return found.join(texts, "doc_id").withColumn("context", snippet(F.col("_text"), F.col("position"), **options)).drop("_text")

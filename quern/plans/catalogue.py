@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.catalog import TABLES, register, table
+from quern.catalog import TABLES, extremes, register, table
 from quern.functions import conversions, dates, numbers, text
 from quern.operators import cursors, dml, fulltext, nullmode, quantified, setops
 from quern.plans import ddl, routines, sql_compat
@@ -521,6 +521,170 @@ def table_definition(spark, sf_dir):
     return found
 
 
+@frame("SELECT least_o_orderkey, greatest_o_orderkey, least_o_totalprice, greatest_o_totalprice FROM (SELECT min(o_orderkey) AS least_o_orderkey, max(o_orderkey) AS greatest_o_orderkey, min(o_totalprice) AS least_o_totalprice, max(o_totalprice) AS greatest_o_totalprice FROM orders)")
+def footer_extremes(spark, sf_dir):
+    return extremes(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"])
+
+
+# Columns of several values, large objects, pointers and escapes in the dialect's spelling
+
+
+@frame("SELECT event_id, list_value(user_id, event_id)[2] AS second, CAST(2 AS bigint) AS n FROM events WHERE event_type = 'error'")
+def multi_value_syntax(spark, sf_dir):
+    table(spark, sf_dir, "events").withColumn("v", F.array("user_id", "event_id")).createOrReplaceTempView("_multi")
+    return sql_compat.run(spark, "SELECT event_id, v[1] AS second, CAST(m.v# AS bigint) AS n FROM _multi AS m WHERE event_type = 'error'")
+
+
+@frame("SELECT doc_id, CAST(octet_length(encode(text)) AS bigint) AS bytes, substring(text, 4, 10) AS part FROM documents")
+def lob_syntax(spark, sf_dir):
+    register(spark, sf_dir, ("documents",))
+    return sql_compat.run(spark, "SELECT doc_id, CAST(text# AS bigint) AS bytes, text[3, 10] AS part FROM documents")
+
+
+@frame("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def pointer_syntax(spark, sf_dir):
+    register(spark, sf_dir, ("orders", "customer"))
+    return sql_compat.run(spark, "SELECT o_orderkey, o.o_custkey^.c_name AS c_name FROM orders o", pointers={"o_custkey": ("customer", "c_custkey")})
+
+
+sql("tilde_like", "part", "SELECT p_partkey, p_name FROM part WHERE p_name ~ '%e%'", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%e%'", legacy=True)
+sql("extract_fields", "orders", "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS bigint) AS y, CAST(EXTRACT(MONTH FROM o_orderdate) AS bigint) AS m, CAST(EXTRACT(DAY FROM o_orderdate) AS bigint) AS d, CAST(EXTRACT(HOUR FROM o_orderdate) AS bigint) AS h FROM orders")
+
+
+@frame("SELECT event_id, user_id % 2 = 1 AS odd, substring(event_type, 2, 3) AS part, position('r' IN substring(event_type, 2)) AS found FROM events")
+def odd_copy_find(spark, sf_dir):
+    e, s = table(spark, sf_dir, "events"), F.col("event_type")
+    return e.select("event_id", numbers.odd(F.col("user_id")).alias("odd"), text.strcopy(s, F.lit(2), F.lit(3)).alias("part"), F.greatest(cursors.find_text(s, "R", 2, ignore_case=True) - 1, F.lit(0)).cast("long").alias("found"))
+
+
+_MS = "CAST(CAST(epoch(date_trunc('second', ts)) AS bigint) % 86400 * 1000 AS bigint)"
+
+
+@frame(f"""SELECT event_id, CAST(CAST(ts AS date) AS timestamp) + to_milliseconds({_MS}) AS again, ({_MS} - 3600000 + 86400000) % 86400000 AS before, {_MS} + 1500 AS after,
+    {_MS} - 43200000 AS from_noon, strftime(ts, '%H:%M') AS short, strftime(ts, '%H:%M:%S') AS long, strftime(ts, '%-d.%-m.%Y %H:%M:%S') AS stamp, strftime(ts, '%Y-%m-%d %H:%M:%S') AS iso FROM events""")
+def times_of_day(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts")).withColumn("t", dates.timestamp_to_time(F.col("ts")))
+    t, ts = F.col("t"), F.col("ts")
+    return e.select("event_id", dates.datetime_to_timestamp(dates.timestamp_to_date(ts), t).alias("again"), dates.time_minus(t, F.lit(3_600_000)).cast("long").alias("before"), dates.time_plus(t, F.lit(1500)).cast("long").alias("after"),
+                    dates.time_diff(t, F.lit(43_200_000)).cast("long").alias("from_noon"), conversions.time2str(t, 0).alias("short"), conversions.time2str(t, 1).alias("long"), conversions.timestamp2str(ts, 1).alias("stamp"), conversions.timestamp2str(ts, 2).alias("iso"))
+
+
+@frame("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7 UNION ALL (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 4) UNION ALL SELECT max(o_orderkey), 0 FROM orders")
+def cursor_positions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    register(spark, sf_dir, ("orders",))
+    greatest = cursors.single_value(spark, "SELECT max(o_orderkey) FROM orders")
+    return cursors.look_up(o, "o_orderkey", 7).union(cursors.fetch(o, ["o_orderkey"], 5)).union(spark.createDataFrame([(greatest, 0)], "o_orderkey long, o_custkey long"))
+
+
+@frame("SELECT count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000.0")
+def prepared_query(spark, sf_dir):
+    register(spark, sf_dir, ("orders",))
+    return routines.prepare(spark, "SELECT count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_orderstatus == :status AND o_totalprice !< :least AND o_totalprice != :least")(status="O", least=1000.0)
+
+
+@frame("SELECT n_name, n_nationkey FROM nation WHERE n_nationkey >= (SELECT avg(n_nationkey) FROM nation)")
+def select_into_variables(spark, sf_dir):
+    register(spark, sf_dir, ("nation",))
+    (mean,) = routines.select_into(spark, "SELECT avg(n_nationkey) FROM nation")
+    return routines.prepare(spark, "SELECT n_name, n_nationkey FROM nation WHERE n_nationkey >= ?")(mean)
+
+
+@frame("SELECT n_name, n_nationkey, n_regionkey FROM nation WHERE false")
+def dml_truncate(spark, sf_dir):
+    return dml.delete(table(spark, sf_dir, "nation"))
+
+
+@frame("SELECT CAST(sum(n_nationkey) AS bigint) AS total FROM nation WHERE n_regionkey = 1")
+def psm_for_loop(spark, sf_dir):
+    register(spark, sf_dir, ("nation",))
+    return routines.script(spark, "BEGIN DECLARE total BIGINT = 0; FOR r AS SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1 DO SET total = total + r.k; END FOR; SELECT total AS total; END")
+
+
+@frame("SELECT 'caught' AS outcome, CAST(3 AS int) AS k")
+def psm_handler(spark, sf_dir):
+    return routines.script(spark, """BEGIN
+        DECLARE outcome STRING = 'none'; DECLARE k INT = 0;
+        BEGIN
+            DECLARE EXIT HANDLER FOR SQLEXCEPTION BEGIN SET outcome = 'caught'; END;
+            again: LOOP
+                SET k = k + 1;
+                IF k = 3 THEN SIGNAL SQLSTATE '45000'; END IF;
+                IF k > 9 THEN LEAVE again; END IF;
+            END LOOP;
+        END;
+        SELECT outcome AS outcome, k AS k; END""")
+
+
+@frame("SELECT s_suppkey, abs(s_acctbal) AS size FROM supplier")
+def external_routine(spark, sf_dir):
+    register(spark, sf_dir, ("supplier",))
+    routines.create_external(spark, "quern_absolute", "DOUBLE PRECISION", "absolute@numpy")
+    return spark.sql("SELECT s_suppkey, quern_absolute(s_acctbal) AS size FROM supplier")
+
+
+@frame("SELECT page_id, octet_length(encode(html)) AS bytes FROM pages WHERE page_id < 3")
+def external_objects(spark, sf_dir):
+    path = _scratch(spark)
+    few = table(spark, sf_dir, "pages").where("page_id < 3").select("page_id", F.regexp_replace("html", "[\r\n]", " ").alias("html"))
+    few.select("html", "page_id").write.partitionBy("page_id").option("lineSep", "\n").text(path)
+    return etl.read_files(spark, f"{path}/page_id=*/*.txt").select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), (F.col("length") - 1).alias("bytes"))
+
+
+# Full-text systems in SQL
+
+
+@frame(f"""{_POSTINGS}, x AS {_hits('license')}, y AS {_hits('under')}
+    SELECT d.doc_id, d.lang, least(x.weight, y.weight) AS weight, least(x.position, y.position) AS position FROM documents d JOIN x USING (doc_id) JOIN y USING (doc_id) WHERE d.lang = 'en'""")
+def ft_predicate(spark, sf_dir):
+    register(spark, sf_dir, ("documents",))
+    name = f"quern_ft_{uuid.uuid4().hex}"
+    ddl.execute(spark, f"CREATE FULLTEXT {name} LANGUAGE 3 NOT LEMMATIZED (documents doc_id text)")
+    return sql_compat.run(spark, f"SELECT d.doc_id, d.lang, @@FULLTEXT_WEIGHT AS weight, @@FULLTEXT_POSITION AS position FROM documents d WHERE d.lang = 'en' AND FULLTEXT({name}, d.doc_id, 'license AND under')")
+
+
+@frame(f"""{_POSTINGS}, n AS (SELECT doc_id, len(regexp_extract_all(source, '{fulltext.WORD}')) AS first FROM documents),
+    q AS (SELECT doc_id, lower(left(w, {fulltext.LONGEST})) AS word, 100 AS more, CAST(i - 1 AS int) AS position FROM (SELECT doc_id, unnest(regexp_extract_all(source, '{fulltext.WORD}')) AS w, generate_subscripts(regexp_extract_all(source, '{fulltext.WORD}'), 1) AS i FROM documents)
+          UNION ALL SELECT doc_id, word, 0, CAST(position + first AS int) FROM p JOIN n USING (doc_id))
+    SELECT doc_id, max(weight) AS weight, min(position) AS position FROM (SELECT doc_id, CAST(sum(1 + more) AS bigint) AS weight, min(position) AS position FROM q WHERE word IN ('src3', 'the') GROUP BY doc_id, word) GROUP BY doc_id""")
+def ft_weights(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return fulltext.search(fulltext.postings(docs, parts={"source": 2, "text": 0}), "the OR src3")
+
+
+@frame(f"""{_POSTINGS}, h AS (SELECT a.doc_id, min(a.position) AS position FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.word = 'under' AND b.word = 'the' GROUP BY a.doc_id)
+    SELECT h.doc_id, h.position, array_to_string(list_transform(r.words[greatest(h.position - 2, 0) + 1 : h.position + 4],
+        lambda w, i: CASE WHEN i - 1 + greatest(h.position - 2, 0) = h.position THEN '<b>' || w WHEN i - 1 + greatest(h.position - 2, 0) = h.position + 1 THEN w || '</b>' ELSE w END), ' ') AS context FROM h JOIN raw r USING (doc_id)""")
+def ft_contexts(spark, sf_dir):
+    found = fulltext.search(_index(spark, sf_dir), '"under the"').drop("weight")
+    return fulltext.contexts(found, table(spark, sf_dir, "documents"), before=2, after=2, start="<b>", end="</b>", count=2)
+
+
+@frame("SELECT 'n_name' AS column_name, 'string' AS type_name, 1 AS data_type UNION ALL SELECT 'k', 'int', 4")
+def info_views(spark, sf_dir):
+    name = f"quern_{uuid.uuid4().hex}"
+    ddl.execute(spark, f"CREATE TABLE {name} (n_name CHAR(25) PRIMARY KEY, k INTEGER CHECK (k >= 0))")
+    infoviews.register(spark)
+    found = spark.sql(f"SELECT column_name, type_name, data_type FROM _iv_odbc_columns WHERE table_name = '{name}'")
+    found = spark.createDataFrame(found.collect(), found.schema)  # two rows
+    ddl.execute(spark, f"DROP TABLE {name}")
+    return found
+
+
+@frame("SELECT n_nationkey, n_name, 'CHECK' AS kind FROM nation")
+def schema_round_trip(spark, sf_dir):
+    path, name = _scratch(spark), f"quern_{uuid.uuid4().hex}"
+    ddl.execute(spark, f"CREATE TABLE {name} (n_nationkey INTEGER CHECK (n_nationkey >= 0), n_name CHAR(25))")
+    table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int"), "n_name").write.insertInto(name)
+    infoviews.export_schema(spark, path, [name])
+    (again,) = infoviews.import_schema(spark, path, lambda n: f"{n}_again")
+    kind = infoviews.constraints(spark).where(F.col("table_name") == again).first().kind
+    found = spark.createDataFrame(spark.table(again).collect(), spark.table(again).schema).withColumn("kind", F.lit(kind))  # as many rows as there are nations
+    for n in (name, again):
+        ddl.execute(spark, f"DROP TABLE {n}")
+    return found
+
+
 @frame("SELECT 'nation' AS table_name, count(*) AS n_rows FROM nation UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'orders', count(*) FROM orders")
 def table_space(spark, sf_dir):
     register(spark, sf_dir, ("nation", "part", "orders"))

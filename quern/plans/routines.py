@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.plans.sql_compat import translate
+from quern.plans.sql_compat import TOKEN, translate
+from quern.types import spark_type
 
 
 def create_function(spark: SparkSession, name: str, parameters: str, returns: str, expression: str) -> None:
@@ -12,9 +16,23 @@ def create_function(spark: SparkSession, name: str, parameters: str, returns: st
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {translate(expression)}")
 
 
+def create_external(spark: SparkSession, name: str, returns: str, where: str) -> None:
+    """An SQL function of a Python one, ``function@module``, that maps pandas series to a series; it sees whole Arrow batches."""
+    function, module = where.split("@")
+    spark.udf.register(name, F.pandas_udf(getattr(importlib.import_module(module), function), returnType=spark_type(returns)))
+
+
 def script(spark: SparkSession, body: str) -> DataFrame:
-    """BEGIN ... END with variables, IF, WHILE, REPEAT, LOOP, FOR and handlers; the last query is the result."""
-    return spark.sql(body)
+    """BEGIN ... END with variables, IF, WHILE, REPEAT, LOOP, FOR, handlers and SIGNAL; the last query is the result."""
+    found = [m for m in TOKEN.finditer(body) if m.lastgroup != "space"]
+    out, at = "", 0
+    for k, m in enumerate(found):
+        if m[0].upper() == "SIGNAL" and k + 1 < len(found):
+            last = found[k + 2] if found[k + 1][0].upper() == "SQLSTATE" else found[k + 1]
+            # A condition that cannot be decided is the statement that fails.
+            out += body[at : m.start()] + f"IF CAST(raise_error('{last[0].strip(chr(39))}') AS BOOLEAN) THEN SELECT 1; END IF"
+            at = last.end()
+    return spark.sql(out + body[at:])
 
 
 def prepare(spark: SparkSession, query: str):

@@ -1,7 +1,7 @@
 """dBase tables as a Spark data source (``dbf``): fixed records, so that files split into ranges of rows.
 
 Read through ``spark.read.format("dbf").load(path)`` after ``register(spark)``;
-memo fields of a file beside it (``.dbt``) are read as text. One file at a path
+memo fields of a file beside it (``.dbt`` or ``.fpt``) are read as text. One file at a path
 that Python can open; writes are of one partition by ``write``.
 """
 
@@ -37,6 +37,8 @@ def field_type(kind: str, width: int, decimals: int) -> T.DataType:
 
 
 def value(raw: bytes, kind: str, decimals: int, encoding: str, memo):
+    if kind == "M" and len(raw) == 4:  # the newer form: a number of four bytes
+        return memo(int.from_bytes(raw, "little"))
     text = raw.decode(encoding, "replace").rstrip(" \0")
     try:
         if kind == "N":
@@ -71,12 +73,17 @@ class DbfReader(DataSourceReader):
         _, start, width, fields = layout(self.path)
         first, last = partition.value
         base = os.path.splitext(self.path)[0]
-        memo_path = next((base + e for e in (".dbt", ".DBT") if os.path.exists(base + e)), None)
+        memo_path = next((base + e for e in (".dbt", ".DBT", ".fpt", ".FPT") if os.path.exists(base + e)), None)
 
         def memo(block: int):
             if not memo_path or not block:
                 return None
             with open(memo_path, "rb") as m:
+                if memo_path.lower().endswith(".fpt"):  # blocks of a size of the file's own; kind and length, then the value
+                    (size,) = struct.unpack_from(">H", m.read(8), 6)
+                    m.seek(block * (size or 1))
+                    _, length = struct.unpack(">II", m.read(8))
+                    return m.read(length).decode(self.encoding, "replace")
                 m.seek(block * 512)
                 out = b""
                 while b"\x1a" not in out and (more := m.read(512)):

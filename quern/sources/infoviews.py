@@ -1,4 +1,4 @@
-"""Catalog views as DataFrames: columns, tables, row counts, constraints, types."""
+"""Catalog views as DataFrames: columns, tables, row counts, constraints, types; tables and their definitions as files."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Type names of the dialect, their numeric codes as ODBC has them, and Spark's type.
 TYPES = (("BOOLEAN", -7, "boolean"), ("TINYINT", -6, "tinyint"), ("SMALLINT", 5, "smallint"), ("INTEGER", 4, "int"), ("BIGINT", -5, "bigint"), ("DECIMAL", 3, "decimal(18,2)"), ("DOUBLE PRECISION", 8, "double"),
@@ -48,3 +49,55 @@ def session_info(spark: SparkSession) -> DataFrame:
 
 def type_info(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TYPES), "type_name string, data_type int, spark_type string")
+
+
+def odbc_columns(spark: SparkSession) -> DataFrame:
+    """table_name, column_name, data_type (the code of the first of the dialect's types that Spark's type stands for, null where there is none), type_name, ordinal, nullable."""
+    first = {}
+    for _, code, kind in TYPES:
+        first.setdefault(kind, code)
+    codes = spark.createDataFrame(list(first.items()), "type_name string, data_type int")
+    return table_columns(spark).join(F.broadcast(codes), "type_name", "left").select("table_name", "column_name", "data_type", "type_name", "ordinal", "nullable")
+
+
+def viewed_columns(spark: SparkSession) -> DataFrame:
+    """table_columns of the views alone."""
+    return table_columns(spark).join(tables(spark).where("kind = 'VIEW'"), "table_name", "left_semi")
+
+
+#: Views by name, as they stand in FROM.
+VIEWS = {
+    "_iv_table_columns": table_columns, "_iv_viewed_table_columns": viewed_columns, "_iv_check_constraints": lambda s: constraints(s, "CHECK"), "_iv_foreign_keys": lambda s: constraints(s, "FOREIGN KEY"),
+    "_iv_indicies": lambda s: constraints(s).where("kind IN ('INDEX', 'UNIQUE', 'PRIMARY KEY')"), "_iv_odbc_tables": tables, "_iv_odbc_columns": odbc_columns, "_iv_odbc_types": type_info,
+    "_iv_odbc_primary_keys": lambda s: constraints(s, "PRIMARY KEY"), "_iv_odbc_foreign_keys": lambda s: constraints(s, "FOREIGN KEY"),
+}
+
+
+def register(spark: SparkSession) -> None:
+    """Temporary views of the catalog as it is now; none of them lists another."""
+    for name in VIEWS:
+        spark.catalog.dropTempView(name)
+    for name, frame in {n: v(spark) for n, v in VIEWS.items()}.items():
+        frame.createOrReplaceTempView(name)
+
+
+def export_schema(spark: SparkSession, path: str, names: list[str] | None = None) -> None:
+    """Each table (all that are no views, or ``names``) as a folder of Parquet files below ``path``, with the definitions as JSON beside them."""
+    names = names or [r.table_name for r in tables(spark).where("kind = 'TABLE'").collect()]
+    kept = {(r.table_name, r.kind, r.text) for r in constraints(spark).collect()}
+    rows = [(n, spark.table(n).schema.json(), json.dumps(sorted(c[1:] for c in kept if c[0] == n))) for n in names]
+    for n in names:
+        spark.table(n).write.parquet(f"{path}/{n}")
+    spark.createDataFrame(rows, "name string, schema string, constraints string").coalesce(1).write.json(f"{path}/_definitions.json")
+
+
+def import_schema(spark: SparkSession, path: str, rename=lambda name: name) -> list[str]:
+    """The tables that ``export_schema`` wrote, under the names that ``rename`` gives them."""
+    made = []
+    for r in spark.read.schema("name string, schema string, constraints string").json(f"{path}/_definitions.json").collect():  # one row a table
+        name = rename(r.name)
+        spark.read.schema(StructType.fromJson(json.loads(r.schema))).parquet(f"{path}/{r.name}").write.format("parquet").saveAsTable(name)
+        text = r.constraints.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE `{name}` SET TBLPROPERTIES ('quern.constraints' = '{text}')")
+        made.append(name)
+    return made

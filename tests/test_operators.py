@@ -4,9 +4,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quern import catalog
 from quern.functions import conversions, dates, numbers, text
 from quern.operators import cursors, dml, fulltext, nullmode, quantified, setops
-from quern.plans import routines, sql_compat
+from quern.plans import ddl, routines, sql_compat
 from quern.types import spark_type, stored
 
 
@@ -282,3 +283,63 @@ def test_written_index_and_single_pass(spark, tmp_path):
     assert [f for f in fulltext.search(written, "cat")._jdf.queryExecution().toString().split() if "PushedFilters" in f]
     with pytest.raises(ValueError):
         fulltext.parse('cat AND "the dog')
+
+
+def test_fulltext_statements(spark):
+    docs = [(1, "The cat-fish and the dog"), (2, "a DOG"), (3, "cat cat"), (4, None)]
+    spark.createDataFrame(docs, "id long, body string").createOrReplaceTempView("ft_docs")
+    run = lambda q, **o: sorted(map(tuple, sql_compat.run(spark, q, **o).collect()))
+    ddl.execute(spark, "CREATE FULLTEXT ft_a LANGUAGE = 3 NOT LEMMATIZED SEPARATED LIMITS '9' (ft_docs id body)")
+    assert run("SELECT id FROM ft_docs WHERE FULLTEXT(ft_a, id, 'cat OR \"a dog\"')") == [(2,), (3,)]
+    assert run("SELECT id FROM ft_docs WHERE FULLTEXT('ft_a', ft_docs.id, :q)", args={"q": "NOT cat"}) == [(1,), (2,), (4,)]
+    assert run("SELECT d.id, @@FULLTEXT_WEIGHT AS w FROM ft_docs d WHERE id < 9 AND FULLTEXT(ft_a, d.id, 'cat')") == [(3, 2)]
+    ddl.execute(spark, "CREATE FULLTEXT ft_b WORD_STARTERS 'a-zA-Z' WORD_CHARS 'a-zA-Z' (ft_docs id body)")
+    assert run("SELECT id FROM ft_docs WHERE FULLTEXT(ft_b, id, 'cat')") == [(1,), (3,)]
+    spark.createDataFrame([(5, "cat")], "id long, body string").createOrReplaceTempView("ft_docs")
+    ddl.execute(spark, "ALTER FULLTEXT ft_b")
+    assert run("SELECT id FROM ft_docs WHERE FULLTEXT(ft_b, id, 'cat')") == [(5,)]
+    for wrong in ("CREATE FULLTEXT ft_b (ft_docs id body)", "CREATE FULLTEXT ft_c LEMMATIZED (ft_docs id body)"):
+        with pytest.raises(ValueError):
+            ddl.execute(spark, wrong)
+    for name in ("ft_a", "ft_b"):
+        ddl.execute(spark, f"DROP FULLTEXT {name}")
+        assert not spark.catalog.tableExists(name)
+
+
+def test_emphasis_of_parts(spark):
+    docs = spark.createDataFrame([(1, "Cat", "cat dog", None), (2, None, "cat", "dog cat")], "doc_id long, title string, body string, head string")
+    index = fulltext.postings(docs, parts={"title": 2, "body": 0, "head": 1})
+    got = lambda q: sorted(map(tuple, fulltext.search(index, q).collect()))
+    assert got("cat") == [(1, 102, 0), (2, 12, 0)]
+    assert got("dog") == [(1, 1, 2), (2, 11, 1)]
+    assert got('"cat dog"') == [(1, 1, 1), (2, 1, 0)]
+    assert got("cat AND dog") == [(1, 1, 0), (2, 11, 0)]
+
+
+def test_values_parts_and_pointers_in_sql(spark):
+    spark.createDataFrame([(1, [5, 6], "abcdef", 2), (2, None, None, None)], "k int, v array<int>, t string, p int").createOrReplaceTempView("vp")
+    run = lambda q, **o: sorted(map(tuple, sql_compat.run(spark, q, **o).collect()), key=str)
+    assert run("SELECT k, v# AS n, x.v[k - 1] AS e, t[1, 2] AS s, t# AS b FROM vp AS x WHERE k = 1") == [(1, 2, 5, "bc", 6)]
+    assert run("SELECT x.k, x.p^.t IS NULL AS none, p^.k AS to FROM vp x", pointers={"p": ("vp", "k")}) == [(1, True, 2), (2, True, None)]
+    assert run("SELECT 5 ^ 1 AS x, transform(array(1, 2), y -> y + 1)[1] AS z") == [(4, 3)]
+    ddl.execute(spark, "CREATE TABLE quern_child (c INTEGER REFERENCES vp (k))")
+    spark.createDataFrame([(1,), (7,)], "c int").write.insertInto("quern_child")
+    assert run("SELECT c, c^.t AS t FROM quern_child") == [(1, "abcdef"), (7, None)]
+    ddl.execute(spark, "DROP TABLE quern_child")
+    user, schema = sql_compat.run(spark, "SELECT WHO_AM_I AS u, LOCAL_SCHEMA_NAME() AS s WHERE TODAY() = current_date").first()
+    assert user and schema == "default"
+
+
+def test_signal_and_words_in_literals(spark):
+    body = "BEGIN DECLARE x STRING = 'SIGNAL a;'; BEGIN DECLARE EXIT HANDLER FOR SQLEXCEPTION BEGIN SET x = x || '!'; END; SIGNAL stop_here; SET x = 'not reached'; END; SELECT x AS x; END"
+    assert routines.script(spark, body).first().x == "SIGNAL a;!"
+    with pytest.raises(Exception, match="45001"):
+        routines.script(spark, "BEGIN SIGNAL SQLSTATE '45001'; SELECT 1 AS k; END").collect()
+
+
+def test_extremes_come_from_footers(spark, tmp_path):
+    spark.range(10).selectExpr("id", "id * 0.5D AS x").write.parquet(f"{tmp_path}/t")
+    df = catalog.extremes(spark, f"{tmp_path}/t", ["id", "x"])
+    assert tuple(df.first()) == (0, 9, 0.0, 4.5)
+    assert "PushedAggregation: [MIN(id)" in df._jdf.queryExecution().toString()
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")

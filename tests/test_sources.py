@@ -102,3 +102,20 @@ def test_external_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"\x00\xff")
     row = etl.read_files(spark, str(tmp_path)).first()
     assert bytes(row.content) == b"\x00\xff" and row.length == 2
+
+
+def test_foxpro_memo(spark, tmp_path):
+    """Blocks of 64 bytes; memo numbers as text and as four bytes."""
+    import struct
+
+    for kind, width, number in (("text", 10, lambda n: (str(n) if n else "").rjust(10).encode()), ("bytes", 4, lambda n: n.to_bytes(4, "little"))):
+        path = f"{tmp_path}/{kind}"
+        field = b"NOTE".ljust(11, b"\0") + b"M" + bytes(4) + bytes([width, 0]) + bytes(14)
+        records = b"".join(b" " + number(n) for n in (8, 0, 10))
+        with open(f"{path}.dbf", "wb") as f:
+            f.write(struct.pack("<BBBBIHH", 0xF5, 120, 1, 1, 3, 32 + 32 + 1, 1 + width).ljust(32, b"\0") + field + b"\r" + records + b"\x1a")
+        with open(f"{path}.fpt", "wb") as f:
+            long = ("ä" * 100).encode("cp852")
+            f.write(struct.pack(">IHH", 13, 0, 64).ljust(512, b"\0") + (struct.pack(">II", 1, 5) + b"first").ljust(128, b"\0") + struct.pack(">II", 1, len(long)) + long)
+        dbf.register(spark)
+        assert [r.NOTE for r in spark.read.format("dbf").load(f"{path}.dbf").collect()] == ["first", None, "ä" * 100]
