@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.common import fresh, let
+
 # Spellings that count as one, in the canonical form, in this order.
 SPELLINGS = (
     ("licence", "license"), ("sub license", "sublicense"), ("organisation", "organization"), ("authorisation", "authorization"), ("acknowledgement", "acknowledgment"),
@@ -77,16 +79,26 @@ WHOLE = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null stays null."""
-    out = F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT_LINE, "")), MARKS, " "))
+def bare(text: Column) -> Column:
+    """A text without copyright lines, in lower case, a blank for each run of marks inside a line; line breaks stay."""
+    return F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT_LINE, "")), MARKS.replace("\\x2F", "\\x09\\x0B-\\x2F", 1), " ")
+
+
+def spelled(bare_text: Column) -> Column:
+    """Equivalent spellings alike. None of them reaches over a line break."""
     for one, other in SPELLINGS:
-        out = F.replace(out, F.lit(one), F.lit(other))
-    return out
+        bare_text = F.replace(bare_text, F.lit(one), F.lit(other))
+    return bare_text
+
+
+def joined(bare_text: Column) -> Column:
+    """The canonical form of a whole text, from its bare form."""
+    return spelled(F.trim(F.regexp_replace(bare_text, "[ \n]+", " ")))
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    """SHA-256 of the canonical form of a text; null stays null."""
+    return F.sha2(joined(bare(text)), 256)
 
 
 def known_digests(spark: SparkSession, known=KNOWN, whole=WHOLE) -> DataFrame:
@@ -107,11 +119,18 @@ def scan(documents: DataFrame, text: str = "text", known=KNOWN) -> DataFrame:
     spark = documents.sparkSession
     table = known_digests(spark, known)
     pairs = [(r.digest, r.license) for r in table.collect()]  # the fixed list above
-    ids = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    whole = F.coalesce(F.col(text), F.lit(""))
-    notices = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.split(whole, "\n"), lambda s: F.try_element_at(ids, digest(s))))))
-    d = documents.drop("digest", "license", "notices").withColumn("digest", digest(whole))
-    return d.join(F.broadcast(table), "digest", "left").withColumn("notices", notices)
+    digests, ids = F.array(*[F.lit(d) for d, _ in pairs]), F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+
+    def looked_up(b: Column) -> Column:
+        lines = F.transform(F.split(spelled(b), "\n"), lambda line: F.sha2(F.trim(line), 256))
+        notices = F.transform(F.array_intersect(lines, digests), lambda d: F.element_at(ids, d))
+        return F.struct(F.sha2(joined(b), 256).alias("digest"), F.array_sort(F.array_distinct(notices)).alias("notices"))
+
+    d = documents.drop("digest", "license", "notices")
+    both = fresh(d, "_found")
+    d = d.withColumn(both, let(bare(F.coalesce(F.col(text), F.lit(""))), looked_up))
+    d = d.withColumns({"digest": F.col(both)["digest"], "notices": F.col(both)["notices"]}).drop(both)
+    return d.join(F.broadcast(table), "digest", "left").select(*[F.col(f"`{c}`") for c in d.columns if c not in ("digest", "notices")], "digest", "license", "notices")
 
 
 def oracle(known=KNOWN, whole=WHOLE) -> str:
