@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import written
+
 
 def insert(table: DataFrame, rows: DataFrame, columns: list[str] | None = None, defaults: dict[str, Column] | None = None) -> DataFrame:
     """``table`` with ``rows``, whose columns fill ``columns`` by position; others get their default or null."""
@@ -89,7 +91,7 @@ def sequence(df: DataFrame, order: list[str], start: int = 1, step: int = 1, int
     """
     by = order + [f.name for f in df.schema.fields if f.name not in order and f.dataType.typeName() not in ("map", "variant")]
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = ranged.persist()  # ranges are sampled: both uses need the same ones
+    ranged = written(ranged)  # ranges are sampled: both uses need the same ones
     held = {r[0]: r[1] for r in ranged.groupBy("_part").count().collect()}  # one row a partition
     before, at = {}, 0
     for p in sorted(held):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from quern.catalog import TABLES, extremes, register, table
 from quern.functions import conversions, dates, numbers, text
 from quern.operators import cursors, dml, fulltext, nullmode, quantified, setops
 from quern.plans import ddl, routines, sql_compat
+from quern.session import scratch_folder
 from quern.sources import etl, infoviews, markup
 from quern.streaming import events as streamed
 
@@ -472,38 +472,30 @@ def table_columns(spark, sf_dir):
     return infoviews.table_columns(spark).where(F.col("table_name").isin(*TABLES))
 
 
-def _scratch(spark) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, or on this machine for a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='quern-')}/quern/{uuid.uuid4().hex}"
-
-
 @frame("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def csv_round_trip(spark, sf_dir):
-    path, form = _scratch(spark), etl.Format(separator=";", decimal=",", encoding="CP1250")
+    path, form = scratch_folder(spark), etl.Format(separator=";", decimal=",", encoding="CP1250")
     etl.write_csv(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), path, form)
     return etl.read_csv(spark, path, {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "bigint", "s_acctbal": "double"}, form)
 
 
 @frame("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def fixed_width_round_trip(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     etl.write_fixed(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, [6, 30, 6])
     return etl.read_fixed(spark, path, [("n_nationkey", 6, "bigint"), ("n_name", 30, "string"), ("n_regionkey", 6, "bigint")])
 
 
 @frame("SELECT p_partkey, p_name, p_size FROM part")
 def xml_round_trip(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     etl.write_xml(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), path)
     return etl.read_xml(spark, path, "row", "p_partkey bigint, p_name string, p_size bigint")
 
 
 @frame(f"{_POSTINGS} SELECT doc_id, count(*) AS weight, min(position) AS position FROM p WHERE word = 'license' GROUP BY doc_id")
 def ft_written_index(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     fulltext.write_index(_index(spark, sf_dir), path)
     return fulltext.search(spark.read.parquet(path), "license")
 
@@ -625,7 +617,7 @@ def external_routine(spark, sf_dir):
 
 @frame("SELECT page_id, octet_length(encode(html)) AS bytes FROM pages WHERE page_id < 3")
 def external_objects(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch_folder(spark)
     few = table(spark, sf_dir, "pages").where("page_id < 3").select("page_id", F.regexp_replace("html", "[\r\n]", " ").alias("html"))
     few.select("html", "page_id").write.partitionBy("page_id").option("lineSep", "\n").text(path)
     return etl.read_files(spark, f"{path}/page_id=*/*.txt").select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), (F.col("length") - 1).alias("bytes"))
@@ -673,7 +665,7 @@ def info_views(spark, sf_dir):
 
 @frame("SELECT n_nationkey, n_name, 'CHECK' AS kind FROM nation")
 def schema_round_trip(spark, sf_dir):
-    path, name = _scratch(spark), f"quern_{uuid.uuid4().hex}"
+    path, name = scratch_folder(spark), f"quern_{uuid.uuid4().hex}"
     ddl.execute(spark, f"CREATE TABLE {name} (n_nationkey INTEGER CHECK (n_nationkey >= 0), n_name CHAR(25))")
     table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int"), "n_name").write.insertInto(name)
     infoviews.export_schema(spark, path, [name])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quern", cores: int | str | None = None, **conf: str) -> SparkSession:
@@ -31,3 +34,21 @@ def session(app: str = "quern", cores: int | str | None = None, **conf: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The path of a new folder that all executors see: below spark.checkpoint.dir, or on this machine for a local session. It goes when the session ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{shared or tempfile.mkdtemp(prefix='quern-')}/quern/{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in a scratch folder: what was computed by chance or place stays so, also when executors are lost."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
