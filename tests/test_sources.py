@@ -1,9 +1,10 @@
 import datetime
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from quern.plans import ddl
+from quern.plans import catalogue, ddl
 from quern.sources import dbf, etl, infoviews, markup
 from quern.streaming import events
 
@@ -18,6 +19,47 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, etl.read_csv(spark, f"{tmp_path}/c", COLUMNS, form).collect())) == ROWS
 
 
+@pytest.fixture
+def plain_session(spark):
+    """The session as another program may have made it: Spark's own list of encodings."""
+    key = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield spark
+    spark.conf.set(key, before)
+
+
+def test_csv_round_trip_query_in_a_plain_session(plain_session, tmp_path):
+    """Names with marks, blanks, separators, line breaks, quotes, empty and null."""
+    rows = [(1, "Žluťoučký kůň €", 7, -1.5), (2, " blanks  ", None, None), (3, 'a;b\n"c"\r\nd,e', 0, 1e15), (4, "", 1, 0.1), (5, None, 2, -0.0), (None, "#x\\", 3, 1e-7)]
+    plain_session.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = catalogue.QUERIES["csv_round_trip"](plain_session, str(tmp_path))
+    assert found.dtypes == [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(rows, key=str)
+
+
+@pytest.mark.parametrize(("encoding", "python", "text"), [("CP1250", "cp1250", "žluť€"), ("CP1252", "cp1252", "été€"), ("8859-1", "latin-1", "été"), ("8859-2", "iso8859-2", "žluť"), ("IBM852", "cp852", "žluť")])
+def test_files_hold_the_bytes_of_their_encoding(plain_session, tmp_path, encoding, python, text):
+    df = plain_session.createDataFrame([(1, text)], "id int, `dé` string").coalesce(1)
+    form = etl.Format(separator="§" if encoding != "IBM852" else "|", encoding=encoding)
+    etl.write_csv(df, f"{tmp_path}/c", form)
+    (file,) = (tmp_path / "c").glob("part-*")
+    assert file.read_bytes() == f"id{form.separator}dé\n1{form.separator}{text}\n".encode(python)
+    assert [tuple(r) for r in etl.read_csv(plain_session, f"{tmp_path}/c", {"id": "int", "dé": "string"}, form).collect()] == [(1, text)]
+    skipping = etl.Format(separator=form.separator, encoding=encoding, header=False, skip_lines=1)
+    assert [tuple(r) for r in etl.read_csv(plain_session, f"{tmp_path}/c", {"id": "int", "dé": "string"}, skipping).collect()] == [(1, text)]
+    etl.write_fixed(df, f"{tmp_path}/f", [2, 6], etl.Format(header=False, encoding=encoding))
+    (file,) = (tmp_path / "f").glob("part-*")
+    assert file.read_bytes() == f"1 {text:6}\n".encode(python)
+    assert etl.read_fixed(plain_session, f"{tmp_path}/f", [("id", 2, "int"), ("s", 6, "string")], etl.Format(header=False, encoding=encoding)).first().s == text
+
+
+def test_a_character_that_the_encoding_lacks_is_an_error(plain_session, tmp_path):
+    for text in ("日本", "ñ"):
+        with pytest.raises(Exception, match="CP1250 has no code"):
+            etl.write_csv(plain_session.createDataFrame([(text,)], "s string"), f"{tmp_path}/{ord(text[0])}", etl.Format(encoding="CP1250"))
+
+
 def test_csv_with_lines_to_skip(spark, tmp_path):
     (tmp_path / "f.csv").write_text("about\nid;v\nid;v\n1;2,5\nx;y\n1;2,5\n")
     form = etl.Format(separator=";", decimal=",", skip_lines=1)
