@@ -20,10 +20,11 @@ import tempfile
 import unicodedata
 from array import array
 from collections import Counter
-from itertools import accumulate, chain
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,15 @@ from quern.llm.common import extend, materialize, shipped
 shipped(__name__)
 
 #: Words of the lexicon, pieces of text that a task remembers, and words that it counts before it passes them on.
-LEXICON_WORDS, REMEMBERED, COUNTED = 65_536, 150_000, 400_000
+LEXICON_WORDS, REMEMBERED, COUNTED = 65_536, 300_000, 400_000
 #: Characters of a piece and bytes of a word above which they are neither remembered nor put into the lexicon; characters of text that a task counts before it passes words on.
 LONGEST, HELD = 128, 32 << 20
 #: Bytes of a word up to which it is merged in a table with others, and words of a table.
 SHORT, SIDE_BY_SIDE = 48, 4096
+#: Bytes at the start of a word whose way through the lexicon is remembered, and how many such ways.
+HEAD, HEADS = 4, 65_536
+#: Pieces of text whose ids are put together at a time.
+GATHERED = 1 << 18
 UNRANKED, WIDE = 1 << 60, 1 << 20
 BYTES = [bytes([b]) for b in range(256)]
 #: White space as the tokenizer's patterns know it.
@@ -245,17 +250,29 @@ class Lexicon:
             at += size
         self.first, self.targets, self.skips, self.accepts, self.offsets, self.ids = arrays
         self.labels = at
+        #: Where the first bytes of words lead.
+        self.heads: dict[bytes, tuple[int, int]] = {}
 
     def find(self, word: bytes) -> list[int] | None:
-        state, number, first, labels, seek = self.start, 0, self.first, self.labels, self.map.find
+        head = word[:HEAD]
+        if (at := self.heads.get(head)) is None:
+            at = self.walk(self.start, 0, head)
+            if len(self.heads) < HEADS:
+                self.heads[head] = at
+        state, number = self.walk(*at, word[HEAD:]) if len(word) > HEAD and at[0] >= 0 else at
+        return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist() if state >= 0 and self.accepts[state] else None
+
+    def walk(self, state: int, number: int, word: bytes) -> tuple[int, int]:
+        """The state behind ``word`` and how many words come before; no way: state -1."""
+        first, labels, seek, skips, targets = self.first, self.labels, self.map.find, self.skips, self.targets
         for label in word:
             k = seek(BYTES[label], labels + first[state], labels + first[state + 1])
             if k < 0:
-                return None
+                return -1, 0
             k -= labels
-            number += self.skips[k]
-            state = self.targets[k]
-        return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist() if self.accepts[state] else None
+            number += skips[k]
+            state = targets[k]
+        return state, number
 
 
 def count_words(documents: DataFrame, file, text: str = "text") -> DataFrame:
@@ -311,58 +328,78 @@ def frequent_words(documents: DataFrame, file, text: str = "text", most: int = L
 
 def encoder(file, block):
     tokenizer, lexicon = Tokenizer(file.value), Lexicon(block.value)
+    tokens = pa.array([tokenizer.tokens.get(k, "") for k in range(max(tokenizer.tokens) + 1)], pa.string())
     # Chunks in two generations: what the younger finds in the older one stays when the older one goes.
+    # Each has its chunks' numbers, the ids of all its chunks in one array, and where a chunk's ids begin.
     # Words below them: a chunk that is new in its capitals or marks is often no new word.
-    young: dict[str, tuple[list[int], str]] = {}
-    old: dict[str, tuple[list[int], str]] = {}
+    young: dict[str, int] = {}
+    old: dict[str, int] = {}
+    ids, begins, old_ids, old_begins = array("i"), array("q", [0]), array("i"), array("q", [0])
     known: dict[bytes, list[int]] = {}
     large: list[bytes] = []  # in ``known`` for one batch only
 
-    def learn(chunks: set[str]) -> None:
-        """Ids and decoded form of chunks that the younger generation lacks: from the lexicon, or else merged."""
-        split = {}
+    def learn(chunks: list[str]) -> None:
+        """Ids of chunks that the younger generation lacks, in its arrays: from the lexicon, or else merged."""
+        fresh, rest = [], []
         for c in chunks:
-            if c in old:
-                young[c] = old[c]
-            elif c in tokenizer.special:
-                young[c] = [tokenizer.special[c]], tokenizer.decode([tokenizer.special[c]])
-            else:
-                split[c] = tokenizer.words(c)
+            (rest if c in old or c in tokenizer.special else fresh).append(c)
+        split = list(map(tokenizer.words, fresh))
         unseen = []
-        for w in {w for ws in split.values() for w in ws if w not in known}:
+        for w in set(chain.from_iterable(split)) - known.keys():
             if (found := lexicon.find(w)) is None:
                 unseen.append(w)
             else:
                 known[w] = found
         known.update(zip(unseen, tokenizer.merge(unseen), strict=True))
         large.extend(w for w in unseen if len(w) > LONGEST)
-        for c, ws in split.items():
-            ids = known[ws[0]] if len(ws) == 1 else list(chain.from_iterable([known[w] for w in ws]))
-            young[c] = ids, tokenizer.decode(ids)
+        made, marks, before = [], [], len(ids)
+        for ws in split:
+            for w in ws:
+                made += known[w]
+            marks.append(before + len(made))
+        for c in rest:
+            made += [tokenizer.special[c]] if (k := old.get(c)) is None else old_ids[old_begins[k] : old_begins[k + 1]]
+            marks.append(before + len(made))
+        ids.extend(array("i", made))
+        begins.extend(array("q", marks))
+        young.update(zip(chain(fresh, rest), range(len(young), len(young) + len(chunks))))
 
     def compute(texts: list[str]) -> list:
-        nonlocal young, old
+        nonlocal young, old, ids, begins, old_ids, old_begins
         if len(young) > REMEMBERED:
-            young, old = {}, young
+            young, old, ids, begins, old_ids, old_begins = {}, young, array("i"), array("q", [0]), ids, begins
         if len(known) > 2 * REMEMBERED:
             known.clear()
         chunks = [tokenizer.chunks(t) for t in texts]
-        new = set(chain.from_iterable(chunks)) - young.keys()
-        learn(new)
-        offsets, parts, decoded = [0], [], []
-        for cs in chunks:
-            found = [young[c] for c in cs]
-            ids = list(chain.from_iterable([x[0] for x in found]))
-            parts.append(np.array(ids, dtype=np.int32))
-            offsets.append(offsets[-1] + len(ids))
-            decoded.append(" ".join([x[1] for x in found]))
-        for c in new:
-            if len(c) > LONGEST:
-                del young[c]
+        until = np.cumsum([0, *map(len, chunks)])
+        every = list(chain.from_iterable(chunks))
+        del chunks
+        number = np.fromiter(map(young.get, every, repeat(-1)), np.int32, len(every))
+        lacking = np.nonzero(number < 0)[0]
+        missed = [every[k] for k in lacking.tolist()]
+        new = set(missed)
+        long = [c for c in new if len(c) > LONGEST]
+        learn(list(new.difference(long)) if long else list(new))
+        kept = len(begins)
+        learn(long)
+        number[lacking] = [young[c] for c in missed]
+        store, begin = np.array(ids), np.array(begins)
+        size = begin[number + 1] - begin[number]
+        parts = [np.empty(0, np.int32)]
+        for k in range(0, len(number), GATHERED):
+            n = size[k : k + GATHERED]
+            ends = np.cumsum(n)
+            parts.append(store[np.repeat(begin[number[k : k + GATHERED]] - (ends - n), n) + np.arange(ends[-1])])
+        offsets = np.concatenate([[0], np.cumsum(size)])[until].astype(np.int32)
+        coded = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+        for c in long:
+            del young[c]
+        del begins[kept:], ids[begins[kept - 1] :]
         for w in large:
             known.pop(w, None)
         large.clear()
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts))), pa.array(decoded, pa.string())]
+        # Tokens joined by one space, as ``Tokenizer.decode`` has it.
+        return [coded, pc.binary_join(pa.ListArray.from_arrays(coded.offsets, tokens.take(coded.values)), " ")]
 
     return compute
 

@@ -62,6 +62,34 @@ def test_long_words_are_merged_exactly_and_not_remembered(library, ours):
     assert max(map(len, held["young"].cell_contents)) <= bpe.LONGEST and max(map(len, held["known"].cell_contents)) <= bpe.LONGEST
 
 
+def test_batches_and_generations_match_the_library(library, monkeypatch):
+    """Pieces that are new, remembered, of the older generation, long or special, in batches of several texts."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    monkeypatch.setattr(bpe, "GATHERED", 7)
+    rng = random.Random(4)
+    with open(PATH, "rb") as f:
+        raw = f.read()
+    t = bpe.Tokenizer(raw)
+    words = [w.encode() for w in ("the", "then", "there", "them", "a", "abandon")]
+    block = bpe.compile_lexicon(dict(zip(words, t.merge(words), strict=True)))
+    compute = bpe.encoder(SimpleNamespace(value=raw), SimpleNamespace(value=block))
+    pieces = ["The", "then,", "there", "thesis", "abandoned", "a", "<|endoftext|>x", "été!", "z" * 200, "(q)", *(f"w{k}th" for k in range(60))]
+    for n in (0, 1, 5, 5, 5, 5, 5):
+        texts = [" ".join(rng.choices(pieces, k=rng.choice([0, 1, 30]))) for _ in range(n)]
+        expected = [library.encode(x, add_special_tokens=False).ids for x in texts]
+        ids, decoded = (x.to_pylist() for x in compute(texts))
+        assert ids == expected and decoded == [library.decode(x, skip_special_tokens=False) for x in expected]
+
+
+def test_ways_through_the_lexicon_are_remembered():
+    entries = {w: [k] for k, w in enumerate([b"abcd", b"abcde", b"abcdef", b"abx", b"b"])}
+    lexicon = bpe.Lexicon(bpe.compile_lexicon(entries))
+    for _ in range(2):
+        assert {w: lexicon.find(w) for w in entries} == entries
+        assert [lexicon.find(w) for w in (b"", b"ab", b"abc", b"abcdx", b"abcdeff", b"abyz!", b"zzzzzz")] == [None] * 7
+    assert lexicon.heads[b"abcd"][0] >= 0 and lexicon.heads[b"abyz"] == (-1, 0)
+
+
 def test_counting_passes_words_on_after_so_many_characters(spark, monkeypatch):
     df = spark.createDataFrame([("the end " * 50 + "x" * 500,)] * 40, "text string")
     with open(PATH, "rb") as f:
